@@ -7,8 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glotspark.llm import bpe
-from glotspark.llm.store import table
+from glotspark.llm import bpe, decontaminate, langid, pii, piececounts, warc
+from glotspark.llm.store import Stash, table
+
+#: The key of the surrogates where the caller has none of their own.
+PII_KEY = "glotspark"
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.surrogate(docs, PII_KEY)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +36,37 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (declared: lang, host: source) and pages (by their address and html), in one corpus."""
+    documents, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    none = F.lit(None)
+    host = langid.address_host(F.col("url"))
+    rows = documents.select("doc_id", none.cast("long").alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), none.cast("string").alias("suffix")).unionByName(
+        pages.select(none.cast("long").alias("doc_id"), "page_id", langid.visible_text(F.col("html")).alias("text"), langid.declared_language(F.col("html")).alias("declared"), host.alias("host"), langid.address_suffix(host).alias("suffix"))
+    )
+    return langid.identify(rows, langid.fit(documents))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, stash = table(spark, sf_dir, "pages"), Stash(spark, "warc")
+    warc.write(pages, stash.path("archives"), stash.keep(warc.repeated(pages), "repeated"))
+    return warc.verified(warc.read(spark, stash.path("archives"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piececounts.token_counts(docs, piececounts.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_language_id": op6_language_id,
+    "op7_warc": op7_warc,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
