@@ -24,6 +24,8 @@ other names are kept, those named like the outputs are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +56,8 @@ _FOUND = "(?=[\\p{L}0-9+(])(?:" + "|".join(KINDS.values()) + ")"
 # The alphabets within which characters are substituted.
 ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãåèéêëìíîïòóôõùúûýÿäöü", "ñçšžčćđłńśźż", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
 HEX = "0123456789abcdef"
-
-_SHIFT_RANGE = 1 << 40
+#: Ranges of letters without case that are shifted within themselves: Han, Hangul, Hiragana, Katakana.
+WIDE = [(0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0x3041, 0x3096), (0x30A1, 0x30FA)]
 
 
 def _number(key: str, *parts: Column) -> Column:
@@ -64,35 +66,54 @@ def _number(key: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(said, 256), 1, 10), 16, 10).cast("long")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _shifted(c: Column, shift: Column, alphabets: list[str]) -> Column:
-    low = F.lower(c)
-    out = None
-    for a in alphabets:
-        at = F.instr(F.lit(a), low)
-        new = F.substring(F.lit(a), (F.pmod(at - 1 + shift, F.lit(len(a))) + 1).cast("int"), F.lit(1))
-        out = F.when(at > 0, new) if out is None else out.when(at > 0, new)
-    code = F.ascii(c)
-    for first, last in ((0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0x3041, 0x3096), (0x30A1, 0x30FA)):
-        moved = F.pmod(code - first + shift, F.lit(last - first + 1)) + first
-        out = out.when(code.between(first, last), F.decode(F.unhex(F.lpad(F.hex(moved), 4, "0")), "UTF-16BE"))
-    return F.when(low != c, F.upper(out.otherwise(low))).otherwise(out.otherwise(c))
+    def body(x: Column) -> Column:
+        low, by, up = x["low"], x["shift"], x["low"] != x["c"]
+        out = None
+        for a in alphabets:
+            new = F.substring(F.lit(a), (F.pmod(F.instr(F.lit(a), low) - 1 + by, F.lit(len(a))) + 1).cast("int"), F.lit(1))
+            out = (F.when if out is None else out.when)(F.contains(F.lit(a), low), new)
+        code = F.ascii(low)
+        for first, last in WIDE:
+            moved = F.pmod(code - first + by, F.lit(last - first + 1)) + first
+            out = out.when(code.between(first, last), F.decode(F.unhex(F.lpad(F.hex(moved), 4, "0")), "UTF-16BE"))
+        return _let(out.otherwise(low), lambda new: F.when(up, F.upper(new)).otherwise(new))
+
+    return _let(F.struct(c.alias("c"), F.lower(c).alias("low"), shift.alias("shift")), body)
 
 
 def substituted(value: Column, key: str, kind: str, alphabets: list[str] = ALPHABETS) -> Column:
     """The value with each letter and digit replaced in its alphabet; one to one for values of one shape."""
 
-    def once(s: Column, way: str) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: _shifted(F.substring(s, i, F.lit(1)), _number(key, F.lit(kind), F.lit(way), F.lower(F.substring(s, F.lit(1), i - 1))), alphabets))
-        return F.when(F.length(s) == 0, s).otherwise(F.array_join(each, ""))
+    def once(way: str) -> Callable[[Column], Column]:
+        def body(s: Column) -> Column:
+            each = F.transform(
+                F.filter(F.split(s, ""), lambda x: F.length(x) > 0),
+                lambda c, i: _shifted(c, _number(key, F.lit(kind), F.lit(way), F.lower(F.substring(s, F.lit(1), i))), alphabets),
+            )
+            return F.array_join(each, "")
+
+        return body
 
-    return F.reverse(once(F.reverse(once(value, "on")), "back"))
+    return F.reverse(_let(F.reverse(_let(value, once("on"))), once("back")))
 
 
 def _formatted(value: Column, digits: Column) -> Column:
     """The digits put in place of those of value, one after the other."""
-    place = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i), "[^0-9]", ""))
-    each = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.when(F.substring(value, i, F.lit(1)).rlike("[0-9]"), F.substring(digits, place(i), F.lit(1))).otherwise(F.substring(value, i, F.lit(1))))
-    return F.array_join(each, "")
+
+    def body(v: Column) -> Column:
+        def each(c: Column, i: Column) -> Column:
+            place = F.length(F.regexp_replace(F.substring(v["value"], F.lit(1), i + 1), "[^0-9]", ""))
+            return F.when(c.between("0", "9"), F.substring(v["digits"], place, F.lit(1))).otherwise(c)
+
+        return F.array_join(F.transform(F.filter(F.split(v["value"], ""), lambda x: F.length(x) > 0), each), "")
+
+    return _let(F.struct(value.alias("value"), digits.alias("digits")), body)
 
 
 def _check_digit(digits: Column) -> Column:
@@ -108,10 +129,14 @@ def _check_digit(digits: Column) -> Column:
 
 
 def _card(value: Column, key: str) -> Column:
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    body, last = F.substring(digits, F.lit(1), F.length(digits) - 1), F.substring(digits, F.length(digits), F.lit(1)).cast("int")
-    new = substituted(body, key, "card")
-    return _formatted(value, F.concat(new, F.pmod(_check_digit(new) + last - _check_digit(body), F.lit(10)).cast("string")))
+    def body(v: Column) -> Column:
+        last, off = F.substring(v["digits"], F.length(v["digits"]), F.lit(1)).cast("int"), F.lit(10)
+        return _formatted(v["value"], F.concat(v["new"], F.pmod(_check_digit(v["new"]) + last - _check_digit(v["body"]), off).cast("string")))
+
+    digits = lambda d: F.struct(d["value"].alias("value"), d["digits"].alias("digits"), d["body"].alias("body"), substituted(d["body"], key, "card").alias("new"))
+    plain = lambda x: F.struct(x["value"].alias("value"), x["digits"].alias("digits"), F.substring(x["digits"], F.lit(1), F.length(x["digits"]) - 1).alias("body"))
+    start = F.struct(value.alias("value"), F.regexp_replace(value, "[^0-9]", "").alias("digits"))
+    return _let(start, lambda x: _let(plain(x), lambda d: _let(digits(d), body)))
 
 
 def _numbers(value: Column, key: str, kind: str) -> Column:
@@ -125,11 +150,15 @@ def _phone(value: Column, key: str) -> Column:
 
 
 def _ip(value: Column, key: str) -> Column:
-    octet = F.transform(F.split(value, r"\."), lambda x: x.cast("long"))
-    left, right = octet[0] * 256 + octet[1], octet[2] * 256 + octet[3]
-    state = F.struct(left.alias("l"), right.alias("r"))
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(4)), state, lambda s, i: F.struct(s["r"].alias("l"), s["l"].bitwiseXOR(F.pmod(_number(key, F.lit("ip"), i, s["r"]), F.lit(65536))).alias("r")))
-    return F.concat_ws(".", *[F.shiftright(done[h], 8).cast("string") if hi else F.pmod(done[h], F.lit(256)).cast("string") for h in ("l", "r") for hi in (True, False)])
+    def halves(octet: Column) -> Column:
+        return F.struct((octet[0] * 256 + octet[1]).alias("l"), (octet[2] * 256 + octet[3]).alias("r"))
+
+    def round_(s: Column, i: Column) -> Column:
+        return F.struct(s["r"].alias("l"), s["l"].bitwiseXOR(F.pmod(_number(key, F.lit("ip"), i, s["r"]), F.lit(65536))).alias("r"))
+
+    state = _let(F.transform(F.split(value, r"\."), lambda x: x.cast("long")), halves)
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(4)), state, round_)
+    return _let(done, lambda d: F.concat_ws(".", *[(F.shiftright(d[h], 8) if high else F.pmod(d[h], F.lit(256))).cast("string") for h in ("l", "r") for high in (True, False)]))
 
 
 def _email(value: Column, key: str) -> Column:

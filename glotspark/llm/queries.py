@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glotspark.llm import bpe, decontaminate, langid, pii, piececounts, warc
+from glotspark.llm import bpe, decontaminate, langid, licenses, neardup, pii, piececounts, warc
 from glotspark.llm.store import Stash, table
 
 #: The key of the surrogates where the caller has none of their own.
 PII_KEY = "glotspark"
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
@@ -53,6 +57,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.verified(warc.read(spark, stash.path("archives"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_blocks", "n_confirmed", F.array_join("licenses", ",").alias("licenses"), F.array_join("differences", ";").alias("differences"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,11 +70,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_vectors": op1_near_vectors,
     "op2_decontamination": op2_decontamination,
     "op3_pii_surrogates": op3_pii_surrogates,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_language_id": op6_language_id,
     "op7_warc": op7_warc,
+    "op8_licenses": op8_licenses,
     "op10_token_counts": op10_token_counts,
 }
 
