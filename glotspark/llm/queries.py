@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glotspark.llm import bpe, decontaminate, langid, licenses, neardup, pii, piececounts, warc
+from glotspark.llm import bpe, decontaminate, langid, licenses, neardup, ngramjoin, pii, piececounts, warc
 from glotspark.llm.store import Stash, table
 
 #: The key of the surrogates where the caller has none of their own.
@@ -62,6 +62,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_blocks", "n_confirmed", F.array_join("licenses", ",").alias("licenses"), F.array_join("differences", ";").alias("differences"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.components_of(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_warc": op7_warc,
     "op8_licenses": op8_licenses,
+    "op9_ngram_join": op9_ngram_join,
     "op10_token_counts": op10_token_counts,
 }
 
