@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glotspark.llm import bpe, decontaminate, langid, licenses, neardup, ngramjoin, pii, piececounts, warc
+from glotspark.llm import bpe, ctw, decontaminate, langid, licenses, neardup, ngramjoin, pii, piececounts, warc
 from glotspark.llm.store import Stash, table
 
 #: The key of the surrogates where the caller has none of their own.
@@ -31,6 +31,10 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.surrogate(docs, PII_KEY)
 
 
+def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_vectors": op1_near_vectors,
     "op2_decontamination": op2_decontamination,
     "op3_pii_surrogates": op3_pii_surrogates,
+    "op4_context_tree": op4_context_tree,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_language_id": op6_language_id,
     "op7_warc": op7_warc,
