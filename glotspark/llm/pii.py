@@ -24,6 +24,7 @@ other names are kept, those named like the outputs are replaced.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -71,36 +72,38 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _shifted(c: Column, shift: Column, alphabets: list[str]) -> Column:
+def _shifted(c: Column, shift: Column, hexadecimal: Column) -> Column:
     def body(x: Column) -> Column:
         low, by, up = x["low"], x["shift"], x["low"] != x["c"]
         out = None
-        for a in alphabets:
+        for a in [HEX, *ALPHABETS]:
+            mine = F.contains(F.lit(a), low)
+            mine = mine & x["hex"] if a == HEX else mine
             new = F.substring(F.lit(a), (F.pmod(F.instr(F.lit(a), low) - 1 + by, F.lit(len(a))) + 1).cast("int"), F.lit(1))
-            out = (F.when if out is None else out.when)(F.contains(F.lit(a), low), new)
+            out = (F.when if out is None else out.when)(mine, new)
         code = F.ascii(low)
         for first, last in WIDE:
             moved = F.pmod(code - first + by, F.lit(last - first + 1)) + first
             out = out.when(code.between(first, last), F.decode(F.unhex(F.lpad(F.hex(moved), 4, "0")), "UTF-16BE"))
         return _let(out.otherwise(low), lambda new: F.when(up, F.upper(new)).otherwise(new))
 
-    return _let(F.struct(c.alias("c"), F.lower(c).alias("low"), shift.alias("shift")), body)
+    return _let(F.struct(c.alias("c"), F.lower(c).alias("low"), shift.alias("shift"), hexadecimal.alias("hex")), body)
 
 
-def substituted(value: Column, key: str, kind: str, alphabets: list[str] = ALPHABETS) -> Column:
-    """The value with each letter and digit replaced in its alphabet; one to one for values of one shape."""
+def substituted(value: Column, key: str, kind: Column, hexadecimal: Column) -> Column:
+    """The value with each letter and digit replaced in its alphabet; one to one for values of one shape.
 
-    def once(way: str) -> Callable[[Column], Column]:
-        def body(s: Column) -> Column:
-            each = F.transform(
-                F.filter(F.split(s, ""), lambda x: F.length(x) > 0),
-                lambda c, i: _shifted(c, _number(key, F.lit(kind), F.lit(way), F.lower(F.substring(s, F.lit(1), i))), alphabets),
-            )
-            return F.array_join(each, "")
+    Two passes, one from each end, by one expression: the string is turned round after each.
+    """
 
-        return body
+    def once(s: Column, way: Column) -> Column:
+        each = F.transform(
+            F.filter(F.split(s, ""), lambda x: F.length(x) > 0),
+            lambda c, i: _shifted(c, _number(key, kind, way, F.lower(F.substring(s, F.lit(1), i))), hexadecimal),
+        )
+        return F.reverse(F.array_join(each, ""))
 
-    return F.reverse(_let(F.reverse(_let(value, once("on"))), once("back")))
+    return F.aggregate(F.array(F.lit("on"), F.lit("back")), value, once)
 
 
 def _formatted(value: Column, digits: Column) -> Column:
@@ -128,27 +131,6 @@ def _check_digit(digits: Column) -> Column:
     return F.pmod(-F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), part), F.lit(0), lambda a, x: a + x), F.lit(10))
 
 
-def _card(value: Column, key: str) -> Column:
-    def body(v: Column) -> Column:
-        last, off = F.substring(v["digits"], F.length(v["digits"]), F.lit(1)).cast("int"), F.lit(10)
-        return _formatted(v["value"], F.concat(v["new"], F.pmod(_check_digit(v["new"]) + last - _check_digit(v["body"]), off).cast("string")))
-
-    digits = lambda d: F.struct(d["value"].alias("value"), d["digits"].alias("digits"), d["body"].alias("body"), substituted(d["body"], key, "card").alias("new"))
-    plain = lambda x: F.struct(x["value"].alias("value"), x["digits"].alias("digits"), F.substring(x["digits"], F.lit(1), F.length(x["digits"]) - 1).alias("body"))
-    start = F.struct(value.alias("value"), F.regexp_replace(value, "[^0-9]", "").alias("digits"))
-    return _let(start, lambda x: _let(plain(x), lambda d: _let(digits(d), body)))
-
-
-def _numbers(value: Column, key: str, kind: str) -> Column:
-    return _formatted(value, substituted(F.regexp_replace(value, "[^0-9]", ""), key, kind))
-
-
-def _phone(value: Column, key: str) -> Column:
-    """A leading country code stays."""
-    code = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .-])", 0)
-    return F.concat(code, _numbers(F.substring(value, F.length(code) + 1, F.length(value)), key, "phone"))
-
-
 def _ip(value: Column, key: str) -> Column:
     def halves(octet: Column) -> Column:
         return F.struct((octet[0] * 256 + octet[1]).alias("l"), (octet[2] * 256 + octet[3]).alias("r"))
@@ -161,31 +143,18 @@ def _ip(value: Column, key: str) -> Column:
     return _let(done, lambda d: F.concat_ws(".", *[(F.shiftright(d[h], 8) if high else F.pmod(d[h], F.lit(256))).cast("string") for h in ("l", "r") for high in (True, False)]))
 
 
-def _email(value: Column, key: str) -> Column:
-    """All but the top level domain is substituted."""
-    cut = F.length(value) - F.length(F.regexp_extract(value, r"\.\p{L}+$", 0))
-    return F.concat(substituted(F.substring(value, F.lit(1), cut), key, "email"), F.substring(value, cut + 1, F.length(value)))
-
-
-def _listed(name: Column, names: list[str], key: str) -> Column:
-    """The name that the keyed order of the list puts after it."""
-    order = F.array_sort(F.transform(F.array(*[F.lit(x) for x in names]), lambda x: F.struct(_number(key, F.lit("given"), x).alias("h"), x.alias("x"))))
-    at = F.array_position(F.transform(order, lambda x: x["x"]), name)
-    return F.element_at(order, (F.pmod(at, F.lit(len(names))) + 1).cast("int"))["x"]
-
-
-def _name(name: Column, key: str) -> Column:
-    """One word of a person's name."""
-    free = lambda x: substituted(x, key, "name")
-    every = MALE_NAMES + FEMALE_NAMES
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(3)), free(name), lambda x, _: F.when(x.isin(every), free(x)).otherwise(x))
-    return F.when(name.isin(MALE_NAMES), _listed(name, MALE_NAMES, key)).when(name.isin(FEMALE_NAMES), _listed(name, FEMALE_NAMES, key)).otherwise(walked)
+def next_names(key: str) -> dict[str, str]:
+    """For each listed given name the one after it in its gender's keyed order."""
+    out = {}
+    for names in (MALE_NAMES, FEMALE_NAMES):
+        order = sorted(names, key=lambda x: hashlib.sha256(f"{key}\x1fgiven\x1f{x}".encode()).digest())
+        out |= dict(zip(order, order[1:] + order[:1], strict=True))
+    return out
 
 
-def _person(value: Column, key: str) -> Column:
-    titles = MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES
-    titles = titles + [f"{t}." for t in titles]
-    return F.array_join(F.transform(F.split(value, " "), lambda w: F.when(w.isin(titles), w).otherwise(_name(w, key))), " ")
+_KEPT = [t + dot for t in MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES for dot in ("", ".")]
+_TAIL = {"email": r"\.\p{L}+$"}
+_HEAD = {"phone": r"^\+[0-9]{1,3}(?=[ .-])", "token": "^(?:sk-|ghp_|AKIA)?"}
 
 
 def kind_of(value: Column) -> Column:
@@ -196,11 +165,45 @@ def kind_of(value: Column) -> Column:
 
 
 def surrogate_of(value: Column, kind: Column, key: str) -> Column:
-    token = F.concat(F.regexp_extract(value, "^(sk-|ghp_|AKIA)?", 0), F.when(value.rlike("^(sk-|ghp_|AKIA)"), substituted(F.regexp_replace(value, "^(sk-|ghp_|AKIA)", ""), key, "token")).otherwise(substituted(value, key, "token", [HEX])))
-    return (
-        F.when(kind == "email", _email(value, key)).when(kind == "ip", _ip(value, key)).when(kind == "ssn", _numbers(value, key, "ssn")).when(kind == "token", token)
-        .when(kind == "card", _card(value, key)).when(kind == "phone", _phone(value, key)).otherwise(_person(value, key))
-    )
+    """What stays (a country code, a key's prefix, the top level domain) is cut off, the rest
+    substituted - a name word by word - and all put together again."""
+    names = next_names(key)
+    listed = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    numeric = ["ssn", "card", "phone"]
+
+    def cut(v: Column) -> Column:
+        k = v["kind"]
+        head = F.when(k == "phone", F.regexp_extract(v["value"], _HEAD["phone"], 0)).when(k == "token", F.regexp_extract(v["value"], _HEAD["token"], 0)).otherwise(F.lit(""))
+        tail = F.when(k == "email", F.regexp_extract(v["value"], _TAIL["email"], 0)).otherwise(F.lit(""))
+        return _let(F.struct(v["value"].alias("value"), k.alias("kind"), head.alias("head"), tail.alias("tail")), split)
+
+    def split(v: Column) -> Column:
+        rest = F.substring(v["value"], F.length(v["head"]) + 1, F.length(v["value"]) - F.length(v["head"]) - F.length(v["tail"]))
+        plain = F.when(v["kind"].isin(numeric), F.regexp_replace(rest, "[^0-9]", "")).otherwise(rest)
+        return _let(F.struct(v["kind"].alias("kind"), v["head"].alias("head"), v["tail"].alias("tail"), rest.alias("rest"), plain.alias("plain")), atoms)
+
+    def atoms(v: Column) -> Column:
+        body = F.when(v["kind"] == "person", F.split(v["plain"], " ")).when(v["kind"] == "card", F.array(F.substring(v["plain"], F.lit(1), F.length(v["plain"]) - 1))).otherwise(F.array(v["plain"]))
+        hexadecimal = (v["kind"] == "token") & (v["head"] == "")
+        salt = v["kind"]
+
+        def each(a: Column) -> Column:
+            # substituted again while the outcome is a listed name, which keeps the map one to one
+            walk = lambda x, i: F.when((i == 1) | ((salt == "person") & x.isin(list(names))), substituted(x, key, salt, hexadecimal)).otherwise(x)
+            person = salt == "person"
+            return F.when(person & a.isin(_KEPT), a).when(person & a.isin(list(names)), F.element_at(listed, a)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(3)), a, walk))
+
+        return _let(F.struct(*[v[c].alias(c) for c in ("kind", "head", "tail", "rest", "plain")], F.transform(body, each).alias("new")), put)
+
+    def put(v: Column) -> Column:
+        new = v["new"][0]
+        last = F.substring(v["plain"], F.length(v["plain"]), F.lit(1)).cast("int")
+        check = F.pmod(_check_digit(new) + last - _check_digit(F.substring(v["plain"], F.lit(1), F.length(v["plain"]) - 1)), F.lit(10))
+        digits = F.when(v["kind"] == "card", F.concat(new, check.cast("string"))).otherwise(new)
+        whole = F.when(v["kind"].isin(numeric), _formatted(v["rest"], digits)).otherwise(F.array_join(v["new"], " "))
+        return F.concat(v["head"], whole, v["tail"])
+
+    return F.when(kind == "ip", _ip(value, key)).otherwise(_let(F.struct(value.alias("value"), kind.alias("kind")), cut))
 
 
 def _name_words(text: Column) -> Column:
