@@ -94,7 +94,9 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     """One small file, through the file system that the path names."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.setWriteChecksum(False)  # people edit these files, and a stale checksum would lock readers out
+    out = system.create(target, True)
     try:
         out.write(bytearray(text.encode()))
     finally:
