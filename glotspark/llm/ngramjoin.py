@@ -1,8 +1,10 @@
 """Jaccard self-join of texts on word n-grams, with rare-first prefix filtering.
 
-Texts whose shingle sets are equal form a class and take part once. Shingles are ordered by how
-many texts hold them, rare first, ties by hash. The counts are those of a table of ``cells``
-counters that all texts are counted into; sharing a counter only makes the order less sharp, any
+Texts whose shingle sets are equal form a class and take part once. Rare first means first of all
+that a shingle which no other class has can have no part in a link: every shingle is counted over
+all classes (packed fingerprints, dealt out in buckets), and only classes of which enough shingles
+stand elsewhere too go on. Their shingles are ordered by how many of them hold each, ties by hash;
+those counts are of a table of counters, and sharing a counter only makes the order less sharp, any
 fixed order finds every pair. Each class sends its prefix - at least one of its first
 n - ceil(t n) + 1 shingles is shared by any partner - to the tasks that own those shingles:
 
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +48,11 @@ WORDS = 5
 #: Similarity, in hundredths, from which two texts are linked.
 PERCENT = 80
 
-#: Counters for the order of shingles: 4 MB for each task.
-CELLS = 1 << 20
+#: Counters for the order of shingles: as many as there are shingles to order, within these bounds (4 and 64 MB).
+CELLS, MAX_CELLS = 1 << 20, 1 << 24
+
+#: Shingles that a task of the first step sends on at once, and that a bucket has about.
+SHEET, BUCKET = 1 << 21, 1 << 22
 
 #: Classes that are paired under one shingle; more are compared block by block.
 FEW = 24
@@ -98,34 +104,149 @@ def ordered(tokens: np.ndarray, cells: np.ndarray) -> np.ndarray:
 
 def spread(tokens: np.ndarray) -> np.ndarray:
     """How many of the tokens fall in each class of hashes."""
-    return np.bincount((tokens.view(np.uint64) >> np.uint64(58)).astype(np.int64), minlength=_SPREAD).astype(np.uint16)
+    return np.bincount((tokens.view(np.uint64) >> np.uint64(58)).astype(np.int64), minlength=_SPREAD).astype(np.uint32)
 
 
-def _first_pass(docs: DataFrame, words: int, cells: int) -> DataFrame:
-    """For each text its class, and from each task the counters, in strips."""
+def _first_pass(docs: DataFrame, words: int) -> DataFrame:
+    """For each text the size of its set and its class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(cells, np.uint32), set()
-        names = ["doc_id", "n", "k1", "k2", "strip", "counts"]
         for batch in batches:
             n, k1, k2 = [np.zeros(batch.num_rows, np.int64) for _ in range(3)]
             for i, tokens in shingle_sets(batch.column("text"), words):
                 n[i] = len(tokens)
                 if len(tokens):
                     k1[i], k2[i] = class_key(tokens)
-                    if k1[i] not in seen:
-                        counts[tokens.view(np.uint64) & np.uint64(cells - 1)] += 1
-                        if len(seen) >= 1 << 18:
-                            seen.clear()
-                        seen.add(k1[i])
-            none = [pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(k1), pa.array(k2), *none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(k1), pa.array(k2)], names=["doc_id", "n", "k1", "k2"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long")
+
+
+def _sheets(docs: DataFrame, bits, words: int, buckets: int) -> DataFrame:
+    """The shingles of the texts whose bit is set, as 32-bit fingerprints by bucket: sheet, bucket, payload.
+
+    A sheet is some texts of one task. Its row of bucket -1 holds their classes and sizes; its row of a
+    bucket holds how many shingles of each text fall there, then those shingles' fingerprints.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        keys, sets, size, number = [], [], 0, 0
+
+        def sheet() -> pa.RecordBatch:
+            name = task << 32 | number
+            lengths = np.fromiter(map(len, sets), np.int64, len(sets))
+            tokens = np.concatenate(sets).view(np.uint64)
+            bucket = ((tokens >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            owner = np.repeat(np.arange(len(sets)), lengths)
+            order = np.argsort(bucket, kind="stable")
+            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            prints = tokens.astype(np.uint32)
+            rows = [np.concatenate([np.array(keys, np.int64), lengths]).tobytes()]
+            for k in range(buckets):
+                own = order[edge[k] : edge[k + 1]]
+                rows.append(np.bincount(owner[own], minlength=len(sets)).astype(np.uint32).tobytes() + prints[own].tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(buckets + 1, name)), pa.array(np.arange(-1, buckets, dtype=np.int32)), pa.array(np.full(buckets + 1, len(sets), np.int32)), pa.array(rows, pa.binary())], names=["sheet", "bucket", "texts", "payload"])
+
+        for batch in batches:
+            at = batch.column("place").to_numpy()
+            batch = batch.filter(pa.array((bits.value[at // 8] >> (at % 8).astype(np.uint8)) & 1 == 1))
+            for _, own in shingle_sets(batch.column("text"), words):
+                if not len(own):
+                    continue
+                keys.append(class_key(own)[0])
+                sets.append(own)
+                size += len(own)
+                if size >= SHEET or len(sets) >= SHEET // 64:
+                    yield sheet()
+                    keys, sets, size, number = [], [], 0, number + 1
+        if sets:
+            yield sheet()
+
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(_BITMAP))
+    return docs.where("doc_id is not null").select("doc_id", "text", place.alias("place")).mapInArrow(run, "sheet long, bucket int, texts int, payload binary")
+
+
+def _live(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """k1 of the classes that can have a partner: at least percent of their shingles stand elsewhere too.
+
+    Exact but for fingerprints that agree by chance, which only let a class through. Buckets are
+    as many as keep about BUCKET shingles in each, whatever the size of the table.
+    """
+    spark = docs.sparkSession
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    bits = spark.sparkContext.broadcast(_bitmap(classes, "rep"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each sheet and bucket, how many shingles of each text another text has as well."""
+        runs = Runs(["bucket"])
+
+        def work(table: pa.Table | None) -> Iterator[pa.RecordBatch]:
+            if table is None or not len(table):
+                return
+            bucket = table.column("bucket").to_numpy()
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                part = table.slice(a, b - a).select(["sheet", "bucket", "texts", "payload"]).combine_chunks()
+                if bucket[a] < 0:
+                    yield from part.to_batches()
+                    continue
+                texts, raw = part.column("texts").to_pylist(), part.column("payload").to_pylist()
+                prints = [np.frombuffer(r, np.uint32, offset=4 * t) for r, t in zip(raw, texts, strict=True)]
+                values, n = np.unique(np.concatenate(prints), return_counts=True)
+                twice = values[n > 1]
+                out = []
+                for p, r, t in zip(prints, raw, texts, strict=True):
+                    at = np.searchsorted(twice, p)
+                    shared = twice[np.minimum(at, len(twice) - 1)] == p if len(twice) else np.zeros(len(p), bool)
+                    ends = np.cumsum(np.frombuffer(r, np.uint32, t).astype(np.int64))
+                    total = np.concatenate([[0], np.cumsum(shared)])[np.concatenate([[0], ends])]
+                    out.append(np.diff(total).astype(np.uint32).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("sheet").combine_chunks(), part.column("bucket").combine_chunks(), part.column("texts").combine_chunks(), pa.array(out, pa.binary())], names=["sheet", "bucket", "texts", "payload"])
+
+        for batch in batches:
+            yield from work(runs.take(batch))
+        yield from work(runs.rest())
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sheet, keys, sizes, shared = None, None, None, None
+
+        def out() -> pa.RecordBatch:
+            good = 100 * shared >= percent * sizes
+            return pa.RecordBatch.from_arrays([pa.array(keys[good])], names=["k1"])
+
+        for batch in batches:
+            for name, bucket, texts, raw in zip(*(batch.column(c).to_pylist() for c in ("sheet", "bucket", "texts", "payload")), strict=True):
+                if bucket < 0:
+                    if sheet is not None:
+                        yield out()
+                    both = np.frombuffer(raw, np.int64)
+                    sheet, keys, sizes, shared = name, both[:texts], both[texts:], np.zeros(texts, np.int64)
+                else:
+                    shared += np.frombuffer(raw, np.uint32)
+        if sheet is not None:
+            yield out()
+
+    kind = "sheet long, bucket int, texts int, payload binary"
+    sheets = _sheets(docs, bits, words, buckets).withColumn("deal", F.when(F.col("bucket") < 0, F.xxhash64("sheet")).otherwise(F.xxhash64("bucket")))
+    counted = sheets.repartition("deal").sortWithinPartitions("bucket").drop("deal").mapInArrow(count, kind)
+    return counted.repartition("sheet").sortWithinPartitions("sheet", "bucket").mapInArrow(decide, "k1 long").distinct()
+
+
+def _strips(sets: DataFrame, cells: int) -> DataFrame:
+    """Each task's counters of the sets' shingles, in strips."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(cells, np.uint32)
+        for batch in batches:
+            for raw in batch.column("tokens"):
+                counts[np.frombuffer(raw.as_py(), np.uint64) & np.uint64(cells - 1)] += 1
         strips = counts.reshape(-1, min(_STRIP, cells))
         full = np.flatnonzero(strips.any(1))
-        nulls = [pa.nulls(len(full), pa.int64())] * 4
-        yield pa.RecordBatch.from_arrays([*nulls, pa.array(full, pa.int32()), pa.array([strips[k].tobytes() for k in full], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([strips[k].tobytes() for k in full], pa.binary())], names=["strip", "counts"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, strip int, counts binary")
+    return sets.select("tokens").mapInArrow(run, "strip int, counts binary")
 
 
 def _counters(strips: DataFrame, cells: int) -> np.ndarray:
@@ -168,35 +289,26 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["strip", "counts"])
 
 
-def _prefixes(docs: DataFrame, cells, words: int, percent: int, hot: int) -> DataFrame:
-    """token, k1, n, at (place in the order), hot; a class once per task."""
+def _prefixes(sets: DataFrame, cells, percent: int, hot: int) -> DataFrame:
+    """token, k1, n, at (place in the order), hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = cells.value, set()
+        table = cells.value
         edge = max(hot, 4 * int(table.mean()))
         for batch in batches:
-            tokens, keys, sizes, places = [], [], [], []
-            for _, own in shingle_sets(batch.column("text"), words):
-                if not len(own):
-                    continue
-                k1, _ = class_key(own)
-                if k1 in seen:
-                    continue
-                if len(seen) >= 1 << 18:
-                    seen.clear()
-                seen.add(k1)
-                p = int(prefix_length(np.int64(len(own)), percent))
-                tokens.append(ordered(own, table)[:p])
-                keys.append(np.full(p, k1))
-                sizes.append(np.full(p, len(own), np.int32))
-                places.append(np.arange(p, dtype=np.int32))
-                if len(tokens) >= 512:
+            for i in range(0, batch.num_rows, 512):
+                part, tokens, keys, sizes, places = batch.slice(i, 512), [], [], [], []
+                for k1, raw in zip(part.column("k1").to_pylist(), part.column("tokens"), strict=True):
+                    own = np.frombuffer(raw.as_py(), np.int64)
+                    p = int(prefix_length(np.int64(len(own)), percent))
+                    tokens.append(ordered(own, table)[:p])
+                    keys.append(np.full(p, k1))
+                    sizes.append(np.full(p, len(own), np.int32))
+                    places.append(np.arange(p, dtype=np.int32))
+                if tokens:
                     yield _prefix_batch(tokens, keys, sizes, places, table, edge)
-                    tokens, keys, sizes, places = [], [], [], []
-            if tokens:
-                yield _prefix_batch(tokens, keys, sizes, places, table, edge)
 
-    return docs.mapInArrow(run, "token long, k1 long, n int, at int, hot boolean")
+    return sets.select("k1", "tokens").mapInArrow(run, "token long, k1 long, n int, at int, hot boolean")
 
 
 def _prefix_batch(tokens, keys, sizes, places, table, edge) -> pa.RecordBatch:
@@ -297,7 +409,7 @@ def _verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int, stash: Stas
     def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(f"spread_{e}").to_pylist()), np.uint16).reshape(-1, _SPREAD) for e in ("a", "b"))
+                x, y = (np.frombuffer(b"".join(batch.column(f"spread_{e}").to_pylist()), np.uint32).reshape(-1, _SPREAD) for e in ("a", "b"))
                 n, m = (batch.column(f"n_{e}").to_numpy() for e in ("a", "b"))
                 yield batch.filter(pa.array(_may_link(n, m, np.minimum(x, y).sum(1, dtype=np.int64), percent))).select(["a", "b"])
 
@@ -337,7 +449,7 @@ def _compared_blocks(groups: DataFrame, sets: DataFrame, percent: int, block: in
                 part = table.slice(a, b - a)
                 rep, n = part.column("rep").to_numpy(), part.column("n").to_numpy()
                 alone, side = part.column("alone").to_numpy()[0], part.column("side").to_numpy().astype(bool)
-                own = np.frombuffer(b"".join(part.column("spread").to_pylist()), np.uint16).reshape(-1, _SPREAD).astype(np.int32)
+                own = np.frombuffer(b"".join(part.column("spread").to_pylist()), np.uint32).reshape(-1, _SPREAD).astype(np.int64)
                 bound = np.zeros((len(n), len(n)), np.int64)
                 for c in range(_SPREAD):
                     bound += np.minimum(own[:, c][:, None], own[:, c][None, :])
@@ -386,20 +498,20 @@ def common_counts(sets: list[np.ndarray], wide: int = 4096) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def components_of(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, cells: int = CELLS, few: int = FEW, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+def components_of(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, cells: int | None = None, few: int = FEW, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id (long) for every row of docs."""
     spark = docs.sparkSession
     stash, slim = Stash(spark, "ngramjoin"), docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    first = stash.keep(_first_pass(slim, words, cells), "first")
-    rows = first.where("n is not null").drop("strip", "counts")
+    rows = stash.keep(_first_pass(slim, words), "first")
     classes = stash.keep(rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "classes")
-    counters = spark.sparkContext.broadcast(_counters(first.where("strip is not null").select("strip", "counts"), cells))
-    found = stash.keep(_candidates(_prefixes(slim, counters, words, percent, hot), few, percent), "candidates")
+    live = _live(slim, classes, words, percent)
+    wanted = stash.keep(classes.join(live, "k1", "left_semi").select("rep", "k1"), "wanted")
+    sets = stash.keep(_sets(slim, wanted, words), "sets")
+    cells = cells or min(MAX_CELLS, max(CELLS, 1 << int(np.log2((sets.agg(F.sum("n")).first()[0] or 1)))))
+    counters = spark.sparkContext.broadcast(_counters(_strips(sets, cells), cells))
+    found = stash.keep(_candidates(_prefixes(sets, counters, percent, hot), few, percent), "candidates")
     pairs = found.where("kind = 0").select("a", "b").distinct()
     grouped = components(found.where("kind > 0").select(F.when(F.col("kind") == 2, F.xxhash64(F.lit("token"), "a")).otherwise(F.col("a")).alias("a"), "b"), stash, "groups")
-    ends = found.select(F.explode(F.when(F.col("kind") == 2, F.array("b")).otherwise(F.array("a", "b"))).alias("k1")).distinct()
-    wanted = stash.keep(ends.join(classes, "k1").select("rep", "k1"), "wanted")
-    sets = stash.keep(_sets(slim, wanted, words), "sets")
     groups = grouped.select(F.col("node").alias("k1"), F.col("component").alias("group"))
     links = _verified_pairs(pairs, sets, percent, stash).unionByName(_compared_blocks(groups, sets, percent, block, stash))
     links = stash.keep(links, "links")
