@@ -1,0 +1,459 @@
+"""Each operator against a plain version, and its defined results in odd cases."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from glotspark.llm import bpe, bytewords, components, ctw, decontaminate, langid, licenses, neardup, ngramjoin, pii, piececounts, warc
+from glotspark.llm.store import Stash
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = "the of and to in is that for it with as was on be by this are or an from at which but have".split()
+
+
+def words_of(rng, n, vocabulary=WORDS):
+    return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+
+def rows(df, *columns):
+    return [tuple(r) for r in df.select(*columns).collect()]
+
+
+def find(parent, x):
+    while parent[x] != x:
+        x = parent[x]
+    return x
+
+
+# --- words
+
+
+def test_words_and_windows_are_those_of_the_pattern():
+    texts = ["", "One two\tTHREE", " a ", None, "é—ü 12x", "\n\x0b", "x" * 5000]
+    arr = bytewords.arrow_texts(pa.array(texts))
+    for table, pattern in ((bytewords.NOT_SPACE, "[^\x20\x09-\x0d]+"), (bytewords.ALNUM, "[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")):
+        got = {}
+        for p in bytewords.pieces(arr, table, size=8):
+            raw = p.data.tobytes()
+            for i in range(len(p)):
+                got[p.first + i] = [raw[p.start[k] : p.end[k]].decode() for k in range(p.word_at[i], p.word_at[i + 1])]
+        lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+        assert got == {i: re.findall(pattern, lower(t)) for i, t in enumerate(texts)}
+
+
+def test_window_hashes_do_not_depend_on_the_piece():
+    arr = pa.array(["a b c d", "b c d e"])
+    p = next(bytewords.pieces(arr, bytewords.NOT_SPACE))
+    h, at = bytewords.windows(p.hashes(), p.word_at, 3)
+    assert at.tolist() == [0, 1, 4, 5] and h[1] == h[2] and len(set(h.tolist())) == 3
+    assert bytewords.whole(p.hashes()[0:3]) == h[0]
+
+
+# --- components
+
+
+@pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(100, 101)], [(5, None), (None, 5), (7, 3)]])
+def test_components(spark, edges):
+    df = spark.createDataFrame(edges, "a long, b long")
+    parent = {}
+    for a, b in edges:
+        if a is None or b is None or a == b:
+            continue
+        parent.setdefault(a, a), parent.setdefault(b, b)
+        x, y = find(parent, a), find(parent, b)
+        parent[max(x, y)] = min(x, y)
+    got = dict(rows(components.components(df, Stash(spark, "t")), "node", "component"))
+    assert got == {n: find(parent, n) for n in parent}
+
+
+# --- 1
+
+
+def plain_links(data):
+    ok = lambda v: v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)
+    link = {i: set() for i in range(len(data))}
+    for i, j in itertools.combinations(range(len(data)), 2):
+        (a, v, p), (b, w, q) = data[i], data[j]
+        if a is None or b is None or p is None or p != q or not ok(v) or not ok(w) or len(v) != len(w):
+            continue
+        v, w = np.array(v, np.float32).astype(float), np.array(w, np.float32).astype(float)
+        if v @ w / math.sqrt(v @ v) / math.sqrt(w @ w) >= 0.98:
+            link[i].add(j), link[j].add(i)
+    return link
+
+
+def test_near_vectors(spark):
+    rng, data = random.Random(3), []
+    for c in range(12):
+        base = [rng.gauss(0, 1) for _ in range(16)]
+        for k in range(rng.randrange(1, 30)):
+            data.append((len(data), [x + rng.gauss(0, 0.08) for x in base], c % 3))
+    data += [(len(data) + k, list(data[0][1]), 0) for k in range(5)]
+    n = len(data)
+    data += [(n, None, 1), (n + 1, [], 1), (n + 2, [0.0] * 16, 1), (n + 3, [float("nan")] + [1.0] * 15, 1), (n + 4, [None] + [1.0] * 15, 1), (n + 5, data[0][1], None), (n + 6, [1.0, 2.0], 1), (n + 7, [2.0, 4.0], 1), (None, data[0][1], 0)]
+    df = spark.createDataFrame([(*d, "x") for d in data], "vec_id long, embedding array<float>, label int, rep string")
+    got = {r.vec_id: r for r in neardup.link_vectors(df, block=8).collect()}
+    link = plain_links(data)
+    parent = {i: i for i in link}
+    for i, js in link.items():
+        for j in js:
+            a, b = find(parent, i), find(parent, j)
+            parent[max(a, b)] = min(a, b)
+    for i, (vec, _, _) in enumerate(data):
+        if vec is not None:
+            r = got[vec]
+            assert (r.n_links, r.component_id, r.kept) == (len(link[i]), find(parent, i), find(parent, i) == i), vec
+    assert (got[None].n_links, got[None].component_id, got[None].kept) == (0, None, None)
+    assert neardup.link_vectors(df.limit(0)).count() == 0
+
+
+# --- 2
+
+
+def plain_hits(text, items, n=10):
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    w, hit, found = words(text), set(), set()
+    for name, t in items:
+        v = words(t)
+        size = min(n, len(v))
+        for k in range(len(v) - size + 1) if size else ():
+            for at in range(len(w) - size + 1):
+                if w[at : at + size] == v[k : k + size]:
+                    hit |= set(range(at, at + size))
+                    found.add(str(name))
+    return len(w), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("max_bytes", [1 << 20, 60])
+def test_decontamination(spark, max_bytes):
+    rng = random.Random(5)
+    items = [(k, words_of(rng, rng.choice([0, 1, 4, 10, 14]), WORDS + ["Ünï", "x9"])) for k in range(12)] + [(3, "repeated item id"), (50, None), (51, "..")]
+    texts = [None, "", "!!", words_of(rng, 40), "Say: REPEATED—item  id!", items[4][1].upper().replace(" ", "--") + " tail"] + [words_of(rng, 5) + " " + rng.choice(items)[1].__str__() + "," + words_of(rng, 9) for _ in range(25)]
+    docs = spark.createDataFrame([(i, t, "a", 7) for i, t in enumerate(texts)] + [(3, texts[3], "b", 8)], "doc_id long, text string, items string, n_hit int")
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    got = rows(decontaminate.scan(docs, tests, max_bytes=max_bytes), "doc_id", "n_words", "n_hit", "items")
+    assert sorted(got) == sorted((i, *plain_hits(t, items)) for i, t in [*enumerate(texts), (3, texts[3])])
+    clean = decontaminate.decontaminate(docs, tests, "span")
+    assert clean.columns == docs.columns
+    assert decontaminate.decontaminate(docs, tests).count() == sum(plain_hits(t, items)[1] == 0 for t in [*texts, texts[3]])
+    assert decontaminate.scan(docs, tests.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
+
+
+def test_spans_are_cut_out(spark):
+    tests = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "é One, TWO three! end"), (2, None)], "doc_id long, text string")
+    assert sorted(rows(decontaminate.decontaminate(docs, tests, "span"), "doc_id", "text")) == [(1, "é ! end"), (2, None)]
+
+
+# --- 3
+
+PRIVATE = [
+    "Mail john.smith@mail7.example.com or +1 (017) 555-7713 today.", "host 97.51.17.173, card 4845168114407329; 4111 1111 1111 1111", 'token = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8" 123-45-6789',
+    "Mr. John Smith met Mrs. Anna Müller. Smith left.", "Dr Иванов und Frau Schäfer", "clean: 12345 and 1.2.3 and the@",
+]
+
+
+def luhn(s):
+    d = [int(c) for c in re.sub(r"\D", "", s)][::-1]
+    return sum(d[::2] + [x * 2 - 9 * (x > 4) for x in d[1::2]]) % 10 == 0
+
+
+def test_surrogates(spark):
+    df = spark.createDataFrame([(i, t, 5) for i, t in enumerate([*PRIVATE, PRIVATE[0], "", None])], "doc_id long, text string, kinds int")
+    got = {r.doc_id: r for r in pii.surrogate(df, "key").collect()}
+    assert got[5].text == PRIVATE[5] and got[5].n_entities == 0
+    assert got[0].text == got[6].text and got[0].kinds == ["email", "phone"]
+    assert (got[7].text, got[8].text, got[8].n_entities) == ("", None, 0)
+    for i, secret in ((0, "smith"), (0, "7713"), (1, "97.51.17.173"), (1, "4845168114407329"), (2, "9b0b3c"), (2, "45-6789"), (3, "Smith"), (3, "Müller"), (4, "Иванов"), (4, "Schäfer")):
+        assert secret not in got[i].text
+    card = re.search(r"\d{4} \d{4} \d{4} \d{4}", got[1].text)[0]
+    assert luhn(card) and card != "4111 1111 1111 1111"
+    assert re.fullmatch(r'token = "[0-9a-f]{40}" \d{3}-\d{2}-\d{4}', got[2].text)
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Mrs\. (\w+) \w+\. (\w+) left\.", got[3].text)
+    assert m[1] in pii.MALE_NAMES and m[3] in pii.FEMALE_NAMES and m[2] == m[4]
+    assert re.fullmatch(r"Dr [А-Яа-яЁё]{6} und Frau [A-ZÀ-ÿa-z]{7}", got[4].text)
+    other = {r.doc_id: r.text for r in pii.surrogate(df, "another").collect()}
+    assert other[0] != got[0].text
+
+
+def test_surrogates_are_distinct(spark):
+    rng = random.Random(9)
+    values = sorted({".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(300)} | {f"u{i}@x{i % 7}.example.com" for i in range(300)} | {f"+1 ({rng.randrange(1000):03}) 555-{i:04}" for i in range(200)} | {f"4{i:015}" for i in range(200)})
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, text string")
+    assert pii.collisions(df, "k").count() == 0
+    new = [t for (t,) in rows(pii.surrogate(df, "k", check=False), "text")]
+    assert len(set(new)) == len(values) and not set(new) & set(values)
+
+
+# --- 4
+
+
+def plain_tree(texts, depth):
+    counts = {}
+    for t in texts:
+        data = bytes(depth) + t + b"\xff"
+        for p in range(depth, len(data)):
+            for d in range(depth + 1):
+                for b in range(8):
+                    node = counts.setdefault((data[p - d : p], (1 << b) | data[p] >> (8 - b)), [0, 0])
+                    node[data[p] >> (7 - b) & 1] += 1
+    def kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+    weight, share = {}, {}
+    for c, node in sorted(counts, key=lambda k: -len(k[0])):
+        own = kt(*counts[c, node])
+        kids = [weight[k] for k in counts if len(k[0]) == len(c) + 1 and k[0][1:] == c and k[1] == node] if len(c) < depth else []
+        weight[c, node] = np.logaddexp(own, sum(kids)) - math.log(2) if kids else own
+        share[c, node] = math.exp(own - math.log(2) - weight[c, node]) if kids else 1.0
+    return counts, share
+
+
+def plain_score(t, tree, depth):
+    counts, share = tree
+    data, total = bytes(depth) + t + b"\xff", 0.0
+    for p in range(depth, len(data)):
+        for b in range(8):
+            node, bit, prob, deeper = (1 << b) | data[p] >> (8 - b), data[p] >> (7 - b) & 1, 0.5, False
+            for d in range(depth, -1, -1):
+                key = data[p - d : p], node
+                if key in counts:
+                    own = (counts[key][bit] + 0.5) / (sum(counts[key]) + 1)
+                    s = share[key] if deeper else 1.0
+                    prob, deeper = s * own + (1 - s) * prob, True
+            total += math.log10(prob)
+    return total
+
+
+def test_context_tree(spark):
+    rng = random.Random(1)
+    texts = [words_of(rng, rng.randrange(0, 9), WORDS[:6] + ["Ünder"]) for _ in range(20)] + [None, "", "  ", "zebra"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    raw = [(t or "").encode().lower() for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    assert any(held)
+    train = [r for r, h in zip(raw, held) if not h]
+    tree = plain_tree(train, 2)
+    count = Counter(w for r in train for w in [*r.split(), None])
+    n, v = sum(count.values()), len(count)
+    for head in (1 << 20, 3):
+        got = {r.doc_id: r for r in ctw.score(df, depth=2, max_head=head).collect()}
+        for i, r in enumerate(raw):
+            tokens = [*r.split(), None]
+            g = got[i]
+            assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (held[i], len(tokens), sum(count[w] > 0 for w in tokens), n)
+            assert g.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in tokens), abs=1e-9)
+            assert g.score == pytest.approx(plain_score(r, tree, 2), rel=1e-5)
+    small = ctw.score(df, depth=2, max_nodes=300).agg(F.min("score"), F.max("score")).first()
+    assert small[0] < small[1] < 0
+    assert ctw.score(df.limit(0)).count() == 0
+
+
+def test_probabilities_sum_to_one():
+    tree = ctw.Tree(0, [np.array([1], np.uint64)], [np.array([0.25], np.float32)], [np.array([1.0], np.float32)])
+    assert (2 ** tree.log2(np.arange(256, dtype=np.uint64))).sum() == pytest.approx(1)
+
+
+# --- 5
+
+
+def test_bpe(spark):
+    import public_tokenizers as P
+
+    path, enc = P.path("byte_bpe_50k.tiktoken"), bpe.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    rng = random.Random(2)
+    texts = [None, "", "It's  a\n\ntest  ", "naïve 中文 <|endoftext|> 🙂", "a" * 3000, "x1" * 900, "word's 'll\t\t" * 700, "".join(rng.choice("ab1 .'\n é") for _ in range(5000))]
+    for t in texts:
+        want = enc.encode_ordinary(t or "")
+        for size in (7, 100, 1 << 16):
+            assert bpe.encode_text(t, enc, size).tolist() == want
+    df = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
+    out = bpe.decode(bpe.encode(df, path, P.PATTERN), path, P.PATTERN).collect()
+    assert [bytes(r.decoded) for r in out] == [(t or "").encode() for t in texts]
+    assert [r.n_tokens for r in out] == [len(enc.encode_ordinary(t or "")) for t in texts]
+
+
+# --- 6
+
+
+def test_language_id(spark):
+    rng = random.Random(4)
+    vocab = {"en": "the and of water house morning people".split(), "de": "der und nicht wasser haus schön leute".split(), "fr": "le et pas maison être gens où".split()}
+    data = [(i, " ".join(rng.choice(vocab[l]) for _ in range(rng.randrange(3, 60))), l, f"src{i % 3}", 0) for i, l in enumerate(["en", "de", "fr"] * 60)]
+    df = spark.createDataFrame(data, DOC)
+    model = langid.fit(df, rows=90)
+    odd = [(1000, None, "en"), (1001, "", None), (1002, "#### 1234", "de"), (1003, "".join(rng.choice("qxzjkwvy") for _ in range(300)), "fr"), (1004, "der und nicht haus", "xx")]
+    rows_ = df.select("doc_id", "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"))
+    rows_ = rows_.unionByName(spark.createDataFrame([(i, t, d, None, "de") for i, t, d in odd], "doc_id long, text string, declared string, host string, suffix string"))
+    got = {r.doc_id: r for r in langid.identify(rows_, model).collect()}
+    assert sum(got[i].language == l for i, _, l, *_ in data) == len(data) and all(got[i].accepted for i, *_ in data)
+    assert [got[i].language for i in range(1000, 1005)] == ["und", "und", "und", "und", "de"]
+    assert langid.identify(rows_.limit(0), model).count() == 0
+
+
+def test_short_texts_lean_on_declaration_and_host(spark):
+    model = langid.TextModel(["aa", "bb"], np.log(np.full((1 << 16, 3), 1 / (1 << 16))))
+    data = [(i, "some text", "aa" if i < 30 else "bb", "h1" if i < 30 else "h2", None) for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string, declared string, host string, suffix string")
+    assert langid.identify(df, model).select("language").distinct().count() == 1
+
+
+def test_addresses(spark):
+    df = spark.createDataFrame([("https://u@WWW.Example.co.de:80/x?y",), ("http://localhost",), (None,), ("nonsense",)], "u string")
+    host = langid.address_host(F.col("u"))
+    assert rows(df.select(host.alias("h"), langid.address_suffix(host).alias("s")), "h", "s") == [("www.example.co.de", "de"), ("localhost", None), (None, None), (None, None)]
+    page = F.lit("<html class=x LANG='de-AT'><script>x</script><p>Hallo</p><!-- no -->")
+    r = spark.range(1).select(langid.declared_language(page).alias("d"), F.trim(langid.visible_text(page)).alias("t")).first()
+    assert (r.d, r.t) == ("de", "Hallo")
+
+
+# --- 7
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 64])
+def test_warc(spark, chunk):
+    tricky = ["x" * 150, "a\r\n\r\nWARC/1.1\r\nb" * 9, "z" * 95 + "\r\n\r\nWARC/1.1", "\r\n\r\n", "é中🙂" * 60, None, "", "short", "y" * 100]
+    pages = [(i, f"http://h/{i}\n", t) for i, t in enumerate(tricky)] + [(20, "u", "x" * 150), (15, None, "x" * 150), (21, "u", "short"), (None, "u", "y" * 100), (0, "u", "x" * 150)]
+    df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, digest int").repartition(2)
+    stash = Stash(spark, "t")
+    warc.write(df, stash.path("w"), stash.keep(warc.repeated(df), "known"), chunk=chunk)
+    got = rows(warc.verified(warc.read(spark, stash.path("w"))), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    first = {}
+    for i, _, t in pages:
+        if i is not None:
+            first[t or ""] = min(first.get(t or "", i), i)
+    def want(i, t):
+        raw = (t or "").encode()
+        revisit = len(raw) >= 100 and i != first[t]
+        return i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if revisit else "response", first[t] if revisit else None
+    key = lambda r: tuple(map(str, r))
+    assert sorted(got, key=key) == sorted((want(i, t) for i, _, t in pages), key=key)
+
+
+def test_warc_files_split_anywhere(spark):
+    df = spark.createDataFrame([(i, f"u{i}", f"{i} \r\n\r\nWARC/1.1\r\n " * (i % 5)) for i in range(200)], "page_id long, url string, html string").coalesce(1)
+    stash = Stash(spark, "t")
+    warc.write(df, stash.path("w"), stash.keep(warc.repeated(df), "known"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("997", "4096"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        assert warc.verified(warc.read(spark, stash.path("w"))).select("page_id").distinct().count() == 200
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+# --- 8
+
+
+def test_licenses(spark):
+    texts = [None, "", "no notice", "x\nReleased under the MIT License.\ny", "This work is licensed under the GNU General Public License, version 2.", "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0.", "license to kill", "LICENSED UNDER THE APACHE LICENSE, VERSION 2.0."]
+    df = spark.createDataFrame([(i, t, 3) for i, t in enumerate(texts)], "doc_id long, text string, licenses int")
+    got = [r.licenses for r in licenses.scan(df).orderBy("doc_id").collect()]
+    assert got == [[], [], [], ["MIT"], ["GPL-2.0"], ["CC-BY-NC-4.0"], [], ["Apache-2.0"]]
+
+
+def test_every_template_finds_itself():
+    for name, text in licenses.TEMPLATES:
+        assert (name, ()) in licenses.scan_block(text)
+
+
+# --- 9
+
+
+def plain_components(docs):
+    sets = {}
+    for i, t in docs:
+        w = [x for x in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    parent = {i: i for i, _ in docs}
+    for i, j in itertools.combinations(sets, 2):
+        both = len(sets[i] & sets[j])
+        if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = find(parent, i), find(parent, j)
+            parent[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(parent, i)) for i in parent}
+
+
+@pytest.mark.parametrize("few,block,hot", [(24, 256, 4096), (2, 4, 4096), (2, 4, 3)])
+def test_ngram_join(spark, few, block, hot):
+    rng, docs = random.Random(8), []
+    for _ in range(14):
+        base = words_of(rng, rng.randrange(3, 60), WORDS + [f"w{k}" for k in range(40)]).split()
+        for _ in range(rng.randrange(1, 9)):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 3)):
+                copy[rng.randrange(len(copy))] = f"v{rng.randrange(30)}"
+            docs.append((len(docs), " ".join(copy)))
+    docs += [(len(docs) + k, t) for k, t in enumerate([None, "", " \n ", "one two", "ONE\ttwo", docs[0][1].upper()])]
+    df = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, n int")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.components_of(df, few=few, block=block, hot=hot, cells=1 << 14).collect()}
+    assert got == plain_components(docs)
+
+
+def test_ngram_join_of_nothing_and_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "q")], "doc_id long, text string")
+    assert ngramjoin.components_of(df.limit(0)).count() == 0
+    assert sorted(map(str, rows(ngramjoin.components_of(df), "doc_id", "n_shingles", "component_id"))) == sorted(map(str, [(1, 2, 1), (1, 2, 1), (None, 2, None), (None, 1, None)]))
+
+
+def test_common_counts():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))) for _ in range(20)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    got = ngramjoin.common_counts(sets, wide=7)
+    assert all(got[i][j] == want[i][j] for i in range(20) for j in range(20) if i != j)
+
+
+# --- 10
+
+
+def test_token_counts(spark):
+    rng = random.Random(6)
+    ranked = ["▁", "a", "b", "ab", "▁ab", "abb", "ba", "é", "▁b"]
+    pieces = piececounts.pieces_of([p.encode() for p in ranked])
+    harmonic = sum(1 / r for r in range(1, len(ranked) + 1))
+    table = {p.encode(): -math.log(r * harmonic) for r, p in enumerate(ranked, 1)}
+
+    def plain(word):
+        best = [(0.0, 0)]
+        for e in range(1, len(word) + 1):
+            options = [(best[e - 1][0] + pieces.unknown, best[e - 1][1] + 1)] + [(best[e - k][0] + table[word[e - k : e]], best[e - k][1] + 1) for k in range(1, e + 1) if word[e - k : e] in table]
+            top = max(s for s, _ in options)
+            best.append(min(((s, n) for s, n in options if abs(s - top) < 1e-9), key=lambda x: x[1]))
+        return best[-1][1]
+
+    texts = [None, "", "  "] + [" ".join("".join(rng.choice("abéc") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 20))) for _ in range(30)] + ["ab" * 400]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_words int")
+    got = {r.doc_id: (r.n_tokens, r.n_words) for r in piececounts.token_counts(df, pieces).collect()}
+    for i, t in enumerate(texts):
+        own = (t or "").split()
+        parts = [x for w in own for x in piececounts.split_long(piececounts.BEGIN + w.encode())]
+        assert got[i] == (sum(plain(x) for x in parts), len(own)), t
+    assert piececounts.token_counts(df.limit(0), pieces).count() == 0
+
+
+# --- the pipeline
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    vocab = {"en": WORDS, "de": "der die und nicht ein das ist mit von auf haus wasser".split()}
+    data = [(i, " ".join(rng.choice(vocab[l]) + rng.choice(["", "s", "en"]) for _ in range(40)), l, f"s{i % 2}", 0) for i, l in enumerate(["en", "de"] * 20)]
+    item = " ".join(rng.choice(WORDS) + "x" for _ in range(12))
+    data += [(100, data[0][1], "en", "s0", 0), (101, data[1][1] + " " + item, "de", "s1", 0), (102, data[2][1] + " mail a.b@c.example.com", "en", "s0", 0), (103, "#### %%%", "en", "s0", 0), (104, None, "en", "s0", 0), (5, data[5][1], "de", "s1", 0)]
+    data = [(i, t, l, s, len(t or "")) for i, t, l, s, _ in data]
+    spark.createDataFrame(data, DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = sorted(r.doc_id for r in out)
+    assert 100 not in ids and 101 not in ids and 103 not in ids and 104 not in ids and ids.count(5) == 1
+    assert set(range(40)) - {2} <= set(ids) and all(r.lossless for r in out)
