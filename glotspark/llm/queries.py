@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glotspark.llm import bpe, ctw, decontaminate, langid, licenses, neardup, ngramjoin, pii, piececounts, warc
+from glotspark.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from glotspark.llm.store import Stash, table
 
 #: The key of the surrogates where the caller has none of their own.
@@ -90,4 +91,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
