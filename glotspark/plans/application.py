@@ -53,6 +53,8 @@ class Extracted:
     collisions: DataFrame | None = None
     errors: list[tuple[str, str]] = field(default_factory=list)
     key_report: dict[str, Any] | None = None
+    #: file, code, n_replaced, error: the sources with intl calls, as a table; see write_sources().
+    rewritten: DataFrame | None = None
 
 
 def extract(spark: SparkSession, config: Config, keep_existing_source: bool = False, hooks: tuple[Callable[[Extracted], None], ...] = ()) -> Extracted:
@@ -94,12 +96,23 @@ def extract(spark: SparkSession, config: Config, keep_existing_source: bool = Fa
         tops = found.where("kind = 'top-level'").select("file", "name", "line", "text", "intl_key")
         named = tops.join(keyed.groupBy("text").agg(F.min("key").alias("key")), "text", "left").select("file", "name", "line", F.coalesce("intl_key", "key").alias("intl_key"))
         files.write_text(spark, str(config.root / page), report.warnings_markdown(named))
-    out = Extracted(total, rows, catalog.collisions(keyed), errors, key_report)
+    code = tsx.rewritten(sources, keyed.select("file", "text", "key"))
+    out = Extracted(total, rows, catalog.collisions(keyed), errors, key_report, code)
     for hook in hooks:
         hook(out)
     return out
 
 
+def write_sources(extracted: Extracted, root: str) -> int:
+    """Writes the sources in which something was replaced below root; nothing calls this by itself."""
+    rows = extracted.rewritten.where("n_replaced > 0")
+    n = 0
+    for r in rows.toLocalIterator(prefetchPartitions=True):
+        files.write_text(rows.sparkSession, f"{root.rstrip('/')}/{r.file}", r.code)
+        n += 1
+    return n
+
+
 def translate_missing(spark: SparkSession, config: Config, translator: translate.Translator, languages: list[str] | None = None, force: bool = False, limiter=None) -> translate.Translated:
     """Fills the target locales' missing entries. Writes every locale's file, then raises if entries are still empty."""
     source = config["languages"]["source"]

@@ -230,12 +230,27 @@ class Scanner:
                 out[-1].end = self.i
 
 
+@dataclass
+class Site:
+    text: str
+    names: list[str]
+    places: list[tuple[int, int]]
+    start: int
+    end: int
+    wrap: bool
+    getter: tuple[int, str] | None
+
+
 class Extractor:
-    def __init__(self, source: str, jsx: bool = True, script: re.Pattern = SCRIPT):
-        self.source, self.script = source, script
+    def __init__(self, source: str, jsx: bool = True, script: re.Pattern = SCRIPT, skip: tuple[str, ...] = ("console", "require", "import")):
+        self.source, self.script, self.skip = source, script, skip
+        self.frozen, self.attribute = 0, False
         self.lines = [0] + [m.end() for m in re.finditer("\n", source)]
         self.found: list[tuple] = []
         self.tops: list[tuple] = []
+        #: Where a text can be replaced: text, names, operands' places, place, and how (see rewrite).
+        self.sites: list[Site] = []
+        self.depth = 0
         tree = Scanner(source, jsx).items(None)
         self.top_level(tree)
         self.walk(tree)
@@ -243,8 +258,11 @@ class Extractor:
     def line(self, at: int) -> int:
         return bisect_right(self.lines, at)
 
-    def emit(self, text: str, kind: str, start: int, end: int, names: list[str] = ()) -> None:
+    def emit(self, text: str, kind: str, start: int, end: int, names: list[str] = (), operands: list[list[Node]] = (), wrap: bool = False, prop: Node | None = None) -> None:
         self.found.append((text, kind, start, end, self.line(start), list(names)))
+        if not self.frozen:
+            places = [(o[0].start, o[-1].end) for o in operands]
+            self.sites.append(Site(text, list(names), places, start, end, wrap, (prop.start, prop.value) if prop is not None and not self.depth else None))
 
     # --- messages
 
@@ -267,7 +285,7 @@ class Extractor:
         names = [self.variable(o, i) for i, o in enumerate(operands)]
         return "".join(t + (f"{{{names[i]}}}" if i < len(names) else "") for i, t in enumerate(texts)), names
 
-    def chain(self, operands: list[list[Node]]) -> tuple[str, list[str]] | None:
+    def chain(self, operands: list[list[Node]]) -> tuple[str, list[str], list[list[Node]]] | None:
         """The message of a + chain with text in its literals and some operand that is none."""
         texts, others, has_text = [""], [], False
         for o in operands:
@@ -279,7 +297,7 @@ class Extractor:
             else:
                 others.append(o)
                 texts.append("")
-        return self.message(texts, others) if others and has_text else None
+        return (*self.message(texts, others), others) if others and has_text else None
 
     def operands(self, nodes: list[Node]) -> list[list[Node]] | None:
         """The operands, if nodes are one + chain; brackets around inner chains count for nothing."""
@@ -311,7 +329,7 @@ class Extractor:
             own = [x for _, x in part]
             found = self.operands(own)
             if found and not intl and not plus and (m := self.chain(found)):
-                self.emit(m[0], "binary", own[0].start, own[-1].end, m[1])
+                self.emit(m[0], "binary", own[0].start, own[-1].end, m[1], m[2], prop=self.property_key(nodes, part[0][0]))
             for j, x in part:
                 self.visit(nodes, j, x, intl, plus or bool(found))
             part = []
@@ -319,25 +337,54 @@ class Extractor:
     def visit(self, nodes: list[Node], i: int, n: Node, intl: bool, plus: bool) -> None:
         if n.kind == "string":
             if not intl and not plus and self.script.search(n.value):
-                self.emit(n.value, "string", n.start, n.end)
+                key = nodes[i + 1 : i + 2] and nodes[i + 1].value == ":" and (i == 0 or nodes[i - 1].value == ",")
+                self.frozen += (fixed := bool(key) or i > 0 and nodes[i - 1].kind == "name" and nodes[i - 1].value in ("from", "import", "case"))
+                self.emit(n.value, "string", n.start, n.end, wrap=self.attribute, prop=self.property_key(nodes, i))
+                self.frozen -= fixed
         elif n.kind == "template":
             text, names = self.message(n.more, n.kids)
             if not intl and self.script.search(text):
-                self.emit(text, "template", n.start, n.end, names)
+                self.emit(text, "template", n.start, n.end, names, n.kids, prop=self.property_key(nodes, i))
             for k in n.kids:
                 self.walk(k, intl, plus)
         elif n.kind == "group":
+            called = n.value == "(" and i > 0 and (nodes[i - 1].kind == "name" and nodes[i - 1].value not in _BREAK_WORDS | {"function", "catch", "switch"} or nodes[i - 1].kind == "group" and nodes[i - 1].value != "{")
+            still, code = called and self.skipped(self.callee(nodes, i)), n.value == "{" and i > 0 and (nodes[i - 1].value == "=>" or nodes[i - 1].kind == "group")
+            self.frozen += still
+            self.depth += code
             self.walk(n.kids, intl or n.value == "(" and self.intl_call(nodes, i), plus and n.value != "{")
+            self.frozen -= still
+            self.depth -= code
         elif n.kind == "jsx":
             self.jsx(n, intl, plus)
 
+    def callee(self, nodes: list[Node], i: int) -> str | None:
+        """a for a(, a.b for a.b(, c for what goes on before .c(; None where no name is called."""
+        if nodes[i - 1].kind != "name":
+            return None
+        if i < 3 or nodes[i - 2].value not in (".", "?."):
+            return nodes[i - 1].value
+        simple = nodes[i - 3].kind == "name" and (i < 4 or nodes[i - 4].value not in (".", "?."))
+        return f"{nodes[i - 3].value}.{nodes[i - 1].value}" if simple else nodes[i - 1].value
+
+    def skipped(self, name: str | None) -> bool:
+        return name is None or any(name == s or "." not in s and name.startswith(s + ".") for s in self.skip)
+
+    def property_key(self, nodes: list[Node], i: int) -> Node | None:
+        """The key of the object property whose value begins here; None elsewhere and for computed keys."""
+        if i >= 2 and nodes[i - 1].value == ":" and nodes[i - 1].kind == "op" and nodes[i - 2].kind in ("name", "string") and (i == 2 or nodes[i - 3].value == ","):
+            return nodes[i - 2]
+        return None
+
     def intl_call(self, nodes: list[Node], i: int) -> bool:
         before = [(x.kind, x.value) for x in nodes[max(0, i - 3) : i]]
         return len(before) == 3 and before[0] == ("name", "intl") and before[1][1] in (".", "?.") and before[2][1] in ("get", "getHTML")
 
     def jsx(self, n: Node, intl: bool, plus: bool) -> None:
         for a in n.more:
+            self.attribute = len(a) == 1 and a[0].kind == "string" and self.source[a[0].start - 1] == "="
             self.walk(a, intl, plus)
+            self.attribute = False
         kids, i = n.kids, 0
         while i < len(kids):
             run = i
@@ -355,7 +402,7 @@ class Extractor:
                         texts[-1] += p
                 text, names = self.message(texts, slots)
                 if not intl:
-                    self.emit(text, "template", group[0].start, group[-1].end, names)
+                    self.emit(text, "template", group[0].start, group[-1].end, names, slots, wrap=True)
                 for s in slots:
                     self.walk(s, intl, plus)
                 i = run
@@ -363,7 +410,12 @@ class Extractor:
             k = kids[i]
             if k.kind == "text":
                 if not intl and self.script.search(k.value):
-                    self.emit(k.value.strip(), "jsx-text", k.start, k.end)
+                    lead = len(k.value) - len(k.value.lstrip())
+                    tail = len(k.value) - len(k.value.rstrip())
+                    plain = k.end - k.start == len(k.value)
+                    self.emit(k.value.strip(), "jsx-text", k.start, k.end, wrap=True)
+                    if plain and self.sites and self.sites[-1].start == k.start:
+                        self.sites[-1].start, self.sites[-1].end = k.start + lead, k.end - tail
             elif k.kind == "jsx":
                 self.jsx(k, intl, plus)
             else:
@@ -400,6 +452,74 @@ def extract(source: str, jsx: bool = True, script: re.Pattern = SCRIPT) -> tuple
     return sorted(e.found, key=lambda x: (x[2], x[3])), e.tops
 
 
+def rewrite(source: str, key_of: dict[str, str], jsx: bool = True, module: str = "react-intl-universal", skip: tuple[str, ...] = ("console", "require", "import")) -> tuple[str, int]:
+    """The source with each text that has a key replaced by a call of intl.get, and how many were.
+
+    Arguments of skipped calls, object keys, module names and case labels stay. A JSX text or
+    attribute gets braces; a property of a module-level object becomes a getter, so that it is read
+    late. The import is added where the source has none. Running it again changes nothing.
+    """
+    e = Extractor(source, jsx, skip=skip)
+    sites = sorted((x for x in e.sites if x.text in key_of), key=lambda x: (x.start, -x.end))
+
+    def call(x: Site) -> str:
+        said = []
+        for name, (a, b) in zip(x.names, x.places, strict=True):
+            expression = part(a, b)
+            said.append(name if expression == name else f"{name}: {expression}")
+        quoted = key_of[x.text].replace("\\", "\\\\").replace("'", "\\'")
+        return f"intl.get('{quoted}'" + (", { " + ", ".join(dict.fromkeys(said)) + " }" if said else "") + ")"
+
+    def part(a: int, b: int) -> str:
+        """What stands from a to b, with the outermost sites in it replaced, and those inside their operands."""
+        out, at = [], a
+        for x in sites:
+            if x.start < at or x.end > b or x.start < a:
+                continue
+            begin, new = x.start, call(x)
+            if x.getter and x.getter[0] >= at:
+                begin, name = x.getter[0], source[x.getter[0] : source.index(":", x.getter[0])].strip()
+                new = f"get {name}() {{ return {new} }}"
+            elif x.wrap:
+                new = f"{{{new}}}"
+            out += [source[at:begin], new]
+            at = x.end
+        return "".join([*out, source[at:b]])
+
+    if not sites:
+        return source, 0
+    new = part(0, len(source))
+    if not re.search(rf"^\s*import\s+(?:\*\s+as\s+)?intl\b", source, re.M) and not re.search(r"\b(?:const|let|var)\s+intl\b", source):
+        if m := re.search(rf"^\s*import\s+(\w+)[^;\n]*from\s+['\"]{re.escape(module)}['\"];?[^\n]*\n", new, re.M):
+            new = new[: m.end()] + f"const intl = {m[1]};\n" + new[m.end() :]
+        else:
+            new = f"import intl from '{module}';\n" + new
+    return new, len(sites)
+
+
+def rewritten(files: DataFrame, keys: DataFrame) -> DataFrame:
+    """files (file, content) with code and n_replaced; keys (file, text, key) as with_keys() gives them.
+
+    Each file meets only its own keys, gathered by file; nothing is written back to the sources.
+    """
+    from pyspark.sql import functions as F
+
+    own = keys.groupBy("file").agg(F.map_from_entries(F.collect_set(F.struct("text", "key"))).alias("keys"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for f, c, k in zip(frame["file"], frame["content"], frame["keys"], strict=True):
+                try:
+                    code, n = rewrite(c, dict(k or {}), jsx=not re.search(r"(?<!\.d)\.ts\Z", f))
+                    out.append((f, code, n, None))
+                except Exception as e:
+                    out.append((f, c, 0, str(e)[:500]))
+            yield pd.DataFrame(out, columns=["file", "code", "n_replaced", "error"])
+
+    return files.join(own, "file", "left").select("file", "content", "keys").mapInPandas(run, "file string, code string, n_replaced long, error string")
+
+
 def rows_of(file: str, content: str | None) -> list[tuple]:
     try:
         found, tops = extract(content or "", jsx=not re.search(r"(?<!\.d)\.ts\Z", file or ""))

@@ -50,6 +50,31 @@ def test_rules(source, expected):
     assert texts(source) == expected
 
 
+REWRITES = [
+    ("f('甲')", "f(intl.get('k'))"),
+    ("console.log('甲'); g()('甲')", None),
+    ("const a = '甲' + n + '乙'", "const a = intl.get('k', { n })"),
+    ("const o = { title: '甲', '甲': 1 }", "const o = { get title() { return intl.get('k') }, '甲': 1 }"),
+    ("() => { return { t: '甲' } }", "() => { return { t: intl.get('k') } }"),
+    ("<a b='甲'>  甲\n</a>", "<a b={intl.get('k')}>  {intl.get('k')}\n</a>"),
+    ("`甲${a.b}`", "intl.get('k', { a_b: a.b })"),
+    ("switch (x) { case '甲': y }", None),
+]
+
+
+@pytest.mark.parametrize("source,expected", REWRITES)
+def test_rewrite(source, expected):
+    keys = {x[0]: "k" for x in tsx.extract(source)[0]}
+    new, n = tsx.rewrite(source, keys)
+    assert new == (source if expected is None else "import intl from 'react-intl-universal';\n" + expected)
+    assert tsx.rewrite(new, keys) == (new, 0)
+
+
+def test_rewrite_imports():
+    assert tsx.rewrite("import intl from 'x'\nf('甲')", {"甲": "k"})[0] == "import intl from 'x'\nf(intl.get('k'))"
+    assert "const intl = i18n;" in tsx.rewrite("import i18n from 'react-intl-universal';\nf('甲')", {"甲": "k"})[0]
+
+
 def test_top_level_constants():
     tops = tsx.extract("import a from 'b'\nexport const TITLE = '标题'\nconst X = intl.get('k.v')\nfunction f() { const Y = '内' }")[1]
     assert [(t[4], t[3], t[0], t[5]) for t in tops] == [("TITLE", 2, "标题", None), ("X", 3, None, "k.v")]
@@ -90,6 +115,8 @@ def test_extract_and_translate(spark, project):
     assert {d["text"] for d in detail.values()} == set(source.values())
     assert json.loads((project / "locales/zh-CN/translation.report.json").read_text())["summary"]["total_files"] == 3
     assert "| src/head.ts | TITLE | 1 |" in (project / "docs/i18n-top-level-warnings.md").read_text()
+    assert application.write_sources(out, str(project / "new")) == 2
+    assert "intl.get('home.success.保存成功_3b10')" in (project / "new/src/pages/home/Main.tsx").read_text()
     application.translate_missing(spark, config, lambda lang, e: json.dumps({k: "en " + t for k, t in e.items()}))
     done = json.loads(target.read_text())
     assert set(done) == set(source) and "en 标题" in done.values()
