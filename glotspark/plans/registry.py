@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from glotspark.functions import icu, paths, text
 from glotspark.operators import aikeys, catalog, locales, report, translate
 from glotspark.plans.phrases import PHRASES, phrases, phrases_sql
+from glotspark.sources import tsx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -424,3 +425,45 @@ def skip_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, unnest(json_keys(props)) AS key, json_extract_string(props, '$.k') AS value FROM events")
 def json_locale_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+
+
+# --- sources ----------------------------------------------------------------------------------
+
+_SOURCES = f"lines AS (SELECT c_custkey, k, phrase FROM customer, (VALUES (0), (1), (2)) t(k) JOIN phrases ON pid = (c_custkey + k) % {_N})"
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small source file for each customer, with three of the phrases."""
+    names = F.array(*[F.lit(p) for p, _ in PHRASES])
+    said = lambda k: F.element_at(names, (F.pmod(_C("c_custkey") + k, F.lit(_N)) + 1).cast("int"))
+    content = F.concat(F.lit("export const TITLE = '"), said(0), F.lit("'\nconsole.log('"), said(1), F.lit("')\nf(a < b ? '"), said(2), F.lit("' : 'x')\n"))
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey", F.lit(".ts")).alias("file"), content.alias("content"))
+
+
+@query(f"WITH {phrases_sql()}, {_SOURCES} SELECT 'c' || c_custkey || '.ts' AS file, k::BIGINT AS ord, phrase AS text, 'string' AS kind, (k + 1)::INTEGER AS line FROM lines")
+def tsx_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tsx.occurrences(_sources(spark, sf_dir)).where("kind <> 'top-level'").select("file", "ord", "text", "kind", "line")
+
+
+@query(f"WITH {phrases_sql()}, {_SOURCES} SELECT 'c' || c_custkey || '.ts' AS file, 'TITLE' AS name, phrase AS text, 1::INTEGER AS line FROM lines WHERE k = 0")
+def tsx_top_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tsx.occurrences(_sources(spark, sf_dir)).where("kind = 'top-level'").select("file", "name", "text", "line")
+
+
+@query(
+    f"WITH {phrases_sql()}, {_SOURCES}, hashed AS (SELECT *, substr(md5(phrase), 1, 4) AS h FROM lines) SELECT 'c' || c_custkey || '.ts' AS file, 2::BIGINT AS n_replaced,"
+    " 'import intl from ''react-intl-universal'';' || chr(10) || 'export const TITLE = intl.get(''common.' || max(h) FILTER (k = 0) || ''')' || chr(10) || 'console.log(''' || max(phrase) FILTER (k = 1) || ''')' || chr(10)"
+    " || 'f(a < b ? intl.get(''common.' || max(h) FILTER (k = 2) || ''') : ''x'')' || chr(10) AS code FROM hashed GROUP BY c_custkey"
+)
+def tsx_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _sources(spark, sf_dir)
+    found = tsx.occurrences(files).where("kind <> 'top-level'")
+    keyed = catalog.with_keys(found, "hash", F.lit("common"))
+    return tsx.rewritten(files, keyed.select("file", "text", "key")).select("file", "code", "n_replaced")
+
+
+@query("WITH r AS (SELECT event_type, CASE WHEN value < 20 THEN 'low' WHEN value > 90 THEN 'high' END AS reason FROM events) SELECT event_type AS lang, count(*)::BIGINT AS attempted, count(*) FILTER (reason IS NOT NULL)::BIGINT AS failed, printf('%.1f', count(*) FILTER (reason IS NOT NULL) * 100.0 / count(*)) || '%' AS failure_rate, array_to_string(list_sort(list(DISTINCT reason)), ',') AS reasons FROM r GROUP BY 1")
+def failure_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reason = F.when(_C("value") < 20, "low").when(_C("value") > 90, "high")
+    rows = table(spark, sf_dir, "events").select(_C("event_type").alias("lang"), reason.alias("reason"), reason.isNotNull().alias("batch_failed"))
+    return translate.failure_log(rows).withColumn("reasons", F.array_join("reasons", ","))

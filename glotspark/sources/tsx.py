@@ -422,6 +422,15 @@ class Extractor:
                 self.walk(k.kids, intl, plus)
             i += 1
 
+    def ends(self, tree: list[Node], j: int, at: int) -> bool:
+        """Whether a declaration's value, which begins behind at, ends before node j: by a sign, a word, or a line's end."""
+        n, last = tree[j], tree[j - 1]
+        if n.kind == "op":
+            return n.value in (";", ",")
+        if n.kind == "name" and n.value in ("const", "let", "var", "export", "function", "class", "as"):
+            return True
+        return j > at + 1 and last.kind != "op" and n.kind not in ("group", "template") and self.line(n.start) > self.line(last.end)
+
     def top_level(self, tree: list[Node]) -> None:
         """Module-level constants whose whole value is a text, or an intl call."""
         for i, n in enumerate(tree):
@@ -430,7 +439,7 @@ class Extractor:
             at = next((j for j in range(i + 2, min(i + 40, len(tree))) if tree[j].kind == "op" and tree[j].value in ("=", ";")), None)
             if at is None or tree[at].value != "=":
                 continue
-            end = next((j for j in range(at + 1, len(tree)) if tree[j].kind == "op" and tree[j].value in (";", ",") or tree[j].kind == "name" and tree[j].value in ("const", "let", "var", "export", "function", "class", "as")), len(tree))
+            end = next((j for j in range(at + 1, len(tree)) if self.ends(tree, j, at)), len(tree))
             value, name = tree[at + 1 : end], tree[i + 1]
             key, text = None, None
             if len(value) == 4 and value[3].kind == "group" and self.intl_call(value, 3):
