@@ -48,7 +48,7 @@ MAX_NODES = 1 << 22
 MAX_HEAD = 1 << 20
 
 #: Bytes of text whose n-grams are sorted at once.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 #: Distinct n-grams that a task sums before it sends them on, and that it keeps the scores of.
 HELD = 2 << 20
@@ -94,22 +94,33 @@ def ngrams(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np
 
 
 class Sums:
-    """Counts by key, merged now and then."""
+    """Counts by key. What is added is sorted at once; sorted parts are merged when they are many."""
 
     def __init__(self, held: int = HELD):
-        self.held, self.keys, self.counts = held, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.held, self.parts, self.size = held, [], 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
-        new, inverse = np.unique(np.concatenate([self.keys, keys.view(np.int64)]), return_inverse=True)
-        weight = np.concatenate([self.counts, np.ones(len(keys), np.int64) if counts is None else counts])
-        self.keys, self.counts = new, np.bincount(inverse, weight, len(new)).astype(np.int64)
+        if counts is None:
+            keys, counts = np.unique(keys.view(np.int64), return_counts=True)
+        self.parts.append((keys, counts))
+        self.size += len(keys)
+
+    def merge(self) -> None:
+        keys, counts = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
+        self.parts, self.size = [(keys[first], np.add.reduceat(counts, first))], len(first)
 
     def take(self, all_: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
-        if len(self.keys) > (0 if all_ else self.held):
-            out = self.keys, self.counts
-            self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            return out
-        return None
+        """The sums, once they are more than half of what is held, or at the end."""
+        if not self.parts or not all_ and self.size <= self.held:
+            return None
+        self.merge()
+        if not all_ and self.size <= self.held // 2:
+            return None
+        (out,), self.parts, self.size = self.parts, [], 0
+        return out
 
 
 def _lowered(texts: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
