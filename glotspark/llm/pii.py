@@ -40,7 +40,7 @@ FEMALE_NAMES = ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara",
 _NAME = r"\p{Lu}[\p{L}'’-]*\p{Ll}"
 _TITLES = "|".join(MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES)
 _GIVEN = "|".join(MALE_NAMES + FEMALE_NAMES)
-PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLES})\.? (?:{_NAME})(?: {_NAME})?|(?:{_GIVEN}) {_NAME})(?![\p{{L}}\p{{N}}])"
+PERSON = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLES})\.? (?:{_NAME})(?: {_NAME})?|(?:{_GIVEN}) {_NAME})(?![\p{{L}}\p{{N}}])"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62})\.)+\p{L}{2,24}(?![\p{L}\p{N}])"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.[0-9])"
@@ -51,8 +51,10 @@ TOKEN = r"(?<![\p{L}\p{N}])(?:(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})|(?:sk-|ghp_|
 
 #: In this order: where two could match at one place, the first does.
 KINDS = {"email": EMAIL, "ip": IPV4, "ssn": SSN, "token": TOKEN, "card": CARD, "phone": PHONE, "person": PERSON}
-#: A quick look at the next character or the one before keeps most places cheap.
-_FOUND = "(?=[\\p{L}0-9+(])(?:" + "|".join(KINDS.values()) + ")"
+#: No kind begins behind a letter or digit, so most places are done with at the first look.
+_FOUND = "(?<![\\p{L}\\p{N}])(?:" + "|".join(KINDS.values()) + ")"
+#: Every kind but a name has one of these in it; texts without are not looked through any further.
+_SIGN = "[0-9@]|[a-fA-F]{32}|sk-|ghp_|AKIA"
 
 # The alphabets within which characters are substituted.
 ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãåèéêëìíîïòóôõùúûýÿäöü", "ñçšžčćđłńśźż", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
@@ -218,7 +220,7 @@ def entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     names = F.when(F.col(text).rlike(PERSON), _name_words(F.col(text)))
     quoted = F.array_join(F.transform("_names", lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "|")
     pattern = F.when(F.size("_names") > 0, F.concat(F.lit(_FOUND[:-1] + "|(?<![\\p{L}\\p{N}])(?:"), quoted, F.lit(")(?![\\p{L}\\p{N}]))"))).otherwise(F.lit(_FOUND))
-    values = F.when(F.col("_names").isNull(), F.regexp_extract_all(text, F.lit(_FOUND), F.lit(0))).otherwise(F.regexp_extract_all(text, F.col("_pattern"), F.lit(0)))
+    values = F.when(F.col("_names").isNull() & F.col(text).rlike(_SIGN), F.regexp_extract_all(text, F.lit(_FOUND), F.lit(0))).when(F.col("_names").isNotNull(), F.regexp_extract_all(text, F.col("_pattern"), F.lit(0))).otherwise(F.array().cast("array<string>"))
     typed = F.transform("_values", lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
     full = F.transform("_typed", lambda v: F.struct(v["value"].alias("value"), v["kind"].alias("kind"), surrogate_of(v["value"], v["kind"], key).alias("surrogate")))
     out = docs.withColumn("_names", names).withColumn("_pattern", pattern).withColumn("_values", F.coalesce(values, F.array().cast("array<string>")))
