@@ -52,7 +52,7 @@ PERCENT = 80
 CELLS, MAX_CELLS = 1 << 20, 1 << 24
 
 #: Shingles that a task of the first step sends on at once, and that a bucket has about.
-SHEET, BUCKET = 1 << 21, 1 << 22
+SHEET, BUCKET = 1 << 19, 1 << 22
 
 #: Classes that are paired under one shingle; more are compared block by block.
 FEW = 24
@@ -111,7 +111,7 @@ def _first_pass(docs: DataFrame, words: int) -> DataFrame:
     """For each text the size of its set and its class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             n, k1, k2 = [np.zeros(batch.num_rows, np.int64) for _ in range(3)]
             for i, tokens in shingle_sets(batch.column("text"), words):
                 n[i] = len(tokens)
@@ -148,7 +148,7 @@ def _sheets(docs: DataFrame, bits, words: int, buckets: int) -> DataFrame:
                 rows.append(np.bincount(owner[own], minlength=len(sets)).astype(np.uint32).tobytes() + prints[own].tobytes())
             return pa.RecordBatch.from_arrays([pa.array(np.full(buckets + 1, name)), pa.array(np.arange(-1, buckets, dtype=np.int32)), pa.array(np.full(buckets + 1, len(sets), np.int32)), pa.array(rows, pa.binary())], names=["sheet", "bucket", "texts", "payload"])
 
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             at = batch.column("place").to_numpy()
             batch = batch.filter(pa.array((bits.value[at // 8] >> (at % 8).astype(np.uint8)) & 1 == 1))
             for _, own in shingle_sets(batch.column("text"), words):
