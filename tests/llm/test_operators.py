@@ -257,6 +257,18 @@ def test_context_tree(spark):
     assert ctw.score(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("max_nodes", [0, 40, 300])
+def test_context_tree_keeps_every_context(spark, max_nodes):
+    rng = random.Random(11)
+    texts = [words_of(rng, rng.randrange(1, 12), WORDS + ["Ünder", f"w{k}"]) for k in range(30)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    raw = [t.encode().lower() for t in texts]
+    tree = plain_tree([r for i, r in enumerate(raw) if zlib.crc32(str(i).encode()) % 7 != 2], 3)
+    for r in ctw.score(df, depth=3, max_nodes=max_nodes).collect():
+        want = plain_score(raw[r.doc_id], tree, 3)
+        assert r.score == pytest.approx(want, rel=1e-5) and r.bits_per_byte == pytest.approx(-want / math.log10(2) / (len(raw[r.doc_id]) + 1), rel=1e-5)
+
+
 def test_probabilities_sum_to_one():
     tree = ctw.Tree(0, [np.array([1], np.uint64)], [np.array([0.25], np.float32)], [np.array([1.0], np.float32)])
     assert (2 ** tree.log2(np.arange(256, dtype=np.uint64))).sum() == pytest.approx(1)
