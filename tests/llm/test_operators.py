@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -376,6 +377,33 @@ def test_every_template_finds_itself():
         assert (name, ()) in licenses.scan_block(text)
 
 
+@pytest.mark.parametrize("mark", ["", "# ", "// ", " * ", "-- ", "REM ", "dnl "])
+def test_wrapped_templates_are_found_in_prose(mark):
+    rng = random.Random(12)
+    for name, text in licenses.TEMPLATES:
+        lines = textwrap.wrap(text, 72, break_on_hyphens=False, break_long_words=False)
+        lines = [*lines[: len(lines) // 2], "", *lines[len(lines) // 2 :]]
+        notice = "\n".join(mark + x for x in lines)
+        full = f"{words_of(rng, 90)}\n{mark}{words_of(rng, 9)}\n{notice}\n{mark}{words_of(rng, 9)}\n{words_of(rng, 90)}"
+        found = [x for block in licenses.blocks(full) for x in licenses.scan_block(block)]
+        assert found == [(name, ())], text
+
+
+@pytest.mark.parametrize("marks", ["123", "abc", "***"])
+def test_conditions_are_numbered_in_any_way(marks):
+    text = next(t for n, t in licenses.TEMPLATES if n == "BSD-3-Clause" and "Neither" in t)
+    for mark, begin in zip(marks, ("Redistributions of", "Redistributions in", "Neither"), strict=True):
+        text = text.replace(begin, f"\n\n{mark}. {begin}")
+    block, = licenses.blocks("Copyright 2020 A. Person. " + text.replace("the copyright holder", "Example Inc"))
+    assert [name for name, _ in licenses.scan_block(block)] == ["BSD-3-Clause"]
+
+
+def test_blocks_reach_over_lines_and_apart():
+    far = " word" * (2 * licenses.reach() + 1)
+    assert len(licenses.blocks(f"All rights\n# reserved.{far}\nPublic\n// domain")) == 2
+    assert licenses.blocks("free range\nsoftware") == []
+
+
 # --- 9
 
 
