@@ -5,7 +5,9 @@ front). The distinct pre-tokens of a batch are inserted in a trie: sorted, two n
 the nodes of their common prefix. The unigram forward score of a node - the best sum of piece
 scores over the ways to cut the prefix that it stands for - is computed once, for all pre-tokens
 below it; level by level, for all nodes of a level at once. The node where a pre-token ends
-stores its token count, and a text's count is the sum over its pre-tokens.
+stores its token count, and a text's count is the sum over its pre-tokens. A long pre-token goes by
+the same scores on its own, stretch by stretch, with the scores that reach into the next stretch
+carried over; none is cut.
 
 Pieces and their scores come from a vocabulary file; pieces are kept in its order of use, so
 their scores follow Zipf's law: piece r of V has the probability 1/(r H_V). A byte that no piece
@@ -32,7 +34,7 @@ from glotspark.llm.batches import add_columns
 #: The sign for a word's begin.
 BEGIN = "▁".encode()
 
-#: Bytes of a pre-token that go into the trie at once; longer ones are cut between characters.
+#: Bytes of a pre-token that goes into the trie; longer ones are counted one by one.
 LONGEST = 256
 
 #: A byte without a piece costs this much more than the rarest piece.
@@ -41,37 +43,49 @@ UNKNOWN_COST = 10.0
 #: Bytes of text whose pre-tokens share a trie.
 PIECE = 4 << 20
 
+#: Bytes of a long pre-token in which pieces are looked up at once.
+STRETCH = 1 << 16
+
 _RADIX = np.uint64(0x100000001B3)
 
 
 @dataclass
 class Pieces:
-    """Hashes of the pieces of each length, sorted, and their scores."""
+    """Hashes of the pieces of each length, sorted, and their scores; and of their beginnings, -inf for those that are no piece."""
 
     by_length: dict[int, tuple[np.ndarray, np.ndarray]]
     unknown: float
+    begins: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @property
     def longest(self) -> int:
         return max(self.by_length, default=1)
 
 
-def _hash(raw: bytes) -> int:
-    h = 0
+def _hashes(raw: bytes) -> list[int]:
+    """The hash of each beginning of raw; the last is its own."""
+    h, out = 0, []
     for b in raw:
         h = (h * 0x100000001B3 + b + 1) & 0xFFFFFFFFFFFFFFFF
-    return h
+        out.append(h)
+    return out
 
 
 def pieces_of(ranked: list[bytes]) -> Pieces:
     """Pieces in their order of use."""
     harmonic = float(np.sum(1.0 / np.arange(1, len(ranked) + 1)))
     found: dict[int, dict[int, float]] = {}
+    begins: dict[int, dict[int, float]] = {}
     for r, piece in enumerate(ranked, 1):
         if piece:
-            found.setdefault(len(piece), {}).setdefault(_hash(piece), -np.log(r * harmonic))
-    by = {n: (np.array(sorted(d), np.uint64), np.array([d[k] for k in sorted(d)])) for n, d in found.items()}
-    return Pieces(by, -np.log(max(len(ranked), 1) * max(harmonic, 1.0)) - UNKNOWN_COST)
+            hashes = _hashes(piece)
+            found.setdefault(len(piece), {}).setdefault(hashes[-1], -np.log(r * harmonic))
+            for n, h in enumerate(hashes, 1):
+                begins.setdefault(n, {}).setdefault(h, -np.inf)
+    for n, d in found.items():
+        begins[n] |= d
+    by, before = ({n: (np.array(sorted(d), np.uint64), np.array([d[k] for k in sorted(d)])) for n, d in x.items()} for x in (found, begins))
+    return Pieces(by, -np.log(max(len(ranked), 1) * max(harmonic, 1.0)) - UNKNOWN_COST, before)
 
 
 def load_pieces(path: str) -> Pieces:
@@ -139,16 +153,52 @@ def forward_counts(words: list[bytes], pieces: Pieces) -> tuple[np.ndarray, int]
     return out, nodes
 
 
+def _pieces_in(data: np.ndarray, size: int, pieces: Pieces) -> tuple[list[int], list[int], list[float]]:
+    """The pieces that begin in the first size bytes: for each byte the number of its first, and one more; ends; scores."""
+    alive, own = np.arange(size), np.zeros(size, np.uint64)
+    begin, end, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for k in range(1, (pieces.longest if pieces.begins else 0) + 1):
+        inside = alive + k <= len(data)
+        alive, own = alive[inside], own[inside]
+        if not len(alive):
+            break
+        own = own * _RADIX + data[alive + k - 1].astype(np.uint64) + np.uint64(1)
+        keys, scores = pieces.begins[k]
+        at = np.searchsorted(keys, own)
+        at[at == len(keys)] = 0
+        hit = keys[at] == own
+        alive, own, value = alive[hit], own[hit], scores[at[hit]]
+        whole = value > -np.inf
+        begin.append(alive[whole]), end.append(alive[whole] + k), score.append(value[whole])
+    first = np.concatenate(begin)
+    order = np.argsort(first, kind="stable")
+    return np.searchsorted(first[order], np.arange(size + 1)).tolist(), np.concatenate(end)[order].tolist(), np.concatenate(score)[order].tolist()
+
+
+def long_count(word: bytes, pieces: Pieces, stretch: int = STRETCH) -> int:
+    """The token count of one pre-token of any length."""
+    best, count, unknown = [0.0], [0], pieces.unknown
+    for a in range(0, len(word), stretch):
+        size = min(stretch, len(word) - a)
+        first, end, value = _pieces_in(np.frombuffer(word[a : a + size + pieces.longest - 1], np.uint8), size, pieces)
+        best += [-np.inf] * (size + pieces.longest + 1 - len(best))
+        count += [0] * (len(best) - len(count))
+        for i in range(size):
+            s, c = best[i], count[i] + 1
+            for j in range(first[i], first[i + 1]):
+                e, v = end[j], s + value[j]
+                if v > best[e] + 1e-12 or v >= best[e] - 1e-12 and c < count[e]:
+                    best[e], count[e] = v, c
+            v = s + unknown
+            if v > best[i + 1] + 1e-12 or v >= best[i + 1] - 1e-12 and c < count[i + 1]:
+                best[i + 1], count[i + 1] = v, c
+        best, count = [x - best[size] for x in best[size:]], count[size:]
+    return count[0]
+
+
 def split_long(word: bytes) -> list[bytes]:
-    """The pre-token in parts of at most LONGEST bytes, cut between characters."""
-    parts = []
-    while len(word) > LONGEST:
-        cut = LONGEST
-        while cut > LONGEST - 4 and word[cut] & 0xC0 == 0x80:
-            cut -= 1
-        parts.append(word[:cut])
-        word = word[cut:]
-    return [*parts, word]
+    """The parts of a pre-token that are counted apart: it is one part, however long."""
+    return [word]
 
 
 def piece_counts(p: bw.Piece, pieces: Pieces) -> np.ndarray:
@@ -157,8 +207,10 @@ def piece_counts(p: bw.Piece, pieces: Pieces) -> np.ndarray:
     _, first, inverse = np.unique(p.hashes() ^ bw.mix(length), return_index=True, return_inverse=True)
     raw = p.data.tobytes()
     parts = [split_long(BEGIN + raw[a:b]) for a, b in zip(p.start[first].tolist(), p.end[first].tolist(), strict=True)]
-    distinct = sorted({x for word in parts for x in word})
-    counts = dict(zip(distinct, forward_counts(distinct, pieces)[0].tolist(), strict=True))
+    distinct = {x for word in parts for x in word}
+    short = sorted(x for x in distinct if len(x) <= LONGEST)
+    counts = dict(zip(short, forward_counts(short, pieces)[0].tolist(), strict=True))
+    counts |= {x: long_count(x, pieces) for x in distinct if len(x) > LONGEST}
     return np.fromiter((sum(counts[x] for x in word) for word in parts), np.int64, len(parts))[inverse]
 
 

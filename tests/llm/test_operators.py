@@ -479,6 +479,31 @@ def test_token_counts(spark):
     assert piececounts.token_counts(df.limit(0), pieces).count() == 0
 
 
+def test_long_pre_tokens_are_not_cut(spark):
+    rng = random.Random(13)
+    ranked = ["▁", "a", "b", "ab", "▁ab", "abba", "ba", "é", "bé", "中文", "中", "abbaba"]
+    pieces = piececounts.pieces_of([p.encode() for p in ranked])
+    harmonic = sum(1 / r for r in range(1, len(ranked) + 1))
+    table = {p.encode(): -math.log(r * harmonic) for r, p in enumerate(ranked, 1)}
+
+    def plain(word):
+        best = [(0.0, 0)]
+        for e in range(1, len(word) + 1):
+            options = [(best[e - 1][0] + pieces.unknown, best[e - 1][1] + 1)] + [(best[e - k][0] + table[word[e - k : e]], best[e - k][1] + 1) for k in range(1, min(e, 9) + 1) if word[e - k : e] in table]
+            top = max(s for s, _ in options)
+            best.append(min(((s, n) for s, n in options if abs(s - top) < 1e-9), key=lambda x: x[1]))
+        return best[-1][1]
+
+    words = ["".join(rng.choice("abbaé中文c") for _ in range(n)) for n in (84, 85, 260, 900)] + ["ab" * 400, "中文" * 300, "abba" * 200]
+    want = [plain("▁".encode() + w.encode()) for w in words]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)] + [(99, " ".join(words))], "doc_id long, text string")
+    got = dict(rows(piececounts.token_counts(df, pieces), "doc_id", "n_tokens"))
+    assert got == {**dict(enumerate(want)), 99: sum(want)}
+    for size in (1, 7, 100):
+        assert [piececounts.long_count("▁".encode() + w.encode(), pieces, size) for w in words] == want
+    assert piececounts.long_count(b"abc", piececounts.pieces_of([])) == 3
+
+
 # --- the pipeline
 
 
