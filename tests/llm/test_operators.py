@@ -270,6 +270,15 @@ def test_context_tree_keeps_every_context(spark, max_nodes):
         assert r.score == pytest.approx(want, rel=1e-5) and r.bits_per_byte == pytest.approx(-want / math.log10(2) / (len(raw[r.doc_id]) + 1), rel=1e-5)
 
 
+@pytest.mark.parametrize("depth", [0, 1])
+def test_weights_count_all_children(spark, depth):
+    texts = ["aab", "aaab", "abab", "bbba", "abcabc", "aaaaaaaax", "zzzz", "yxyx", "aabaab", "b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tree = plain_tree([t.encode() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2], depth)
+    for r in ctw.score(df, depth=depth, max_nodes=2).collect():
+        assert r.score == pytest.approx(plain_score(texts[r.doc_id].encode(), tree, depth), rel=1e-5)
+
+
 def test_probabilities_sum_to_one():
     tree = ctw.Tree(0, [np.array([1], np.uint64)], [np.array([0.25], np.float32)], [np.array([1.0], np.float32)])
     assert (2 ** tree.log2(np.arange(256, dtype=np.uint64))).sum() == pytest.approx(1)
