@@ -2,8 +2,8 @@
 
 Three kinds of evidence are multiplied and normalised to a posterior over languages:
 
-* the text: naive Bayes over byte trigrams, fitted on a bounded sample of labelled rows, with one
-  more class, ``und``, that draws trigrams at random; whole texts are scored;
+* the text: naive Bayes over byte trigrams, fitted on a bounded sample of the rows of each label, with
+  one more class, ``und``, that draws trigrams at random; whole texts are scored;
 * the language that the markup declares: how often rows of each language (by their text) declare
   each language, from a grouped count over all rows;
 * where the text stands: priors by host, smoothed towards the address suffix, which is smoothed
@@ -31,7 +31,7 @@ from glotspark.llm import bytewords as bw
 from glotspark.llm.batches import add_columns
 from glotspark.llm.store import Stash
 
-#: Rows of the labelled sample that the text model is fitted on (about; a bound for what is read twice).
+#: Rows of each label that the text model is fitted on (about; all of a label with no more).
 SAMPLE_ROWS = 4000
 
 #: Languages at most; more labels are refused.
@@ -85,11 +85,18 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> TextModel:
-    """A text model of the rows with the smallest hashed keys. Counts are summed by the executors."""
-    told = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("label"), F.xxhash64(F.lit(7), key).alias("h"))
-    edge = told.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    if edge is None:
+    """A text model of each label's rows with the smallest hashed keys. Counts are summed by the executors.
+
+    The labels are counted over all rows. Hashed keys are spread evenly, so a label's count gives
+    the edge under which about so many of its rows lie; the smallest is always taken.
+    """
+    told = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("string").alias("label"), F.xxhash64(F.lit(7), key).alias("h"))
+    labels = told.groupBy("label").agg(F.count("*").alias("n"), F.min("h").alias("least")).limit(MAX_LANGUAGES + 1).collect()
+    if len(labels) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not labels:
         return TextModel([], np.full((_CELLS, 1), -np.log(_CELLS)))
+    edges = [(r.label, max(r.least, (1 << 63) - 1 if r.n <= rows else (rows << 64) // r.n - (1 << 63))) for r in labels]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -104,15 +111,15 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
             full = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([str(name)] * len(full)), pa.array(full), pa.array(n[full])], names=["label", "cell", "n"])
 
-    sample = told.where(F.col("h") <= edge)
+    edge = F.create_map(*[F.lit(x) for pair in edges for x in pair])
+    sample = told.where(F.col("h") <= F.element_at(edge, F.col("label")))
     counts = sample.mapInArrow(run, "label string, cell long, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
     found = counts.toArrow()  # at most languages x cells
-    languages = sorted(set(found.column("label").to_pylist()))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    own = pa.compute.dictionary_encode(found.column("label").combine_chunks())
+    languages = sorted(own.dictionary.to_pylist())
     table = np.full((_CELLS, len(languages) + 1), 0.05)
     place = {x: i for i, x in enumerate(languages)}
-    np.add.at(table, (found.column("cell").to_numpy(), np.array([place[x] for x in found.column("label").to_pylist()])), found.column("n").to_numpy())
+    np.add.at(table, (found.column("cell").to_numpy(), np.array([place[x] for x in own.dictionary.to_pylist()], np.int64)[own.indices.to_numpy()]), found.column("n").to_numpy())
     table /= table.sum(0)
     table[:, -1] = 1 / _CELLS
     return TextModel(languages, np.log(table))

@@ -321,6 +321,18 @@ def test_language_id(spark):
     assert langid.identify(rows_.limit(0), model).count() == 0
 
 
+def test_rare_languages_are_fitted(spark):
+    rng = random.Random(14)
+    vocab = {"en": "the and of water house morning people".split(), "de": "der und nicht wasser haus schön leute".split(), "fr": "le et pas maison être gens où".split()}
+    data = [(i, " ".join(rng.choice(vocab[l]) for _ in range(30)), l) for i, l in enumerate(["en", "de"] * 400 + ["fr"])]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.fit(df, rows=20)
+    assert model.languages == ["de", "en", "fr"]
+    rows_ = df.select("doc_id", "text", F.col("lang").alias("declared"), F.lit("h").alias("host"), F.lit("s").alias("suffix"))
+    got = {r.doc_id: r for r in langid.identify(rows_, model).collect()}
+    assert got[800].language == "fr" and got[800].accepted and all(got[i].language == l for i, _, l in data)
+
+
 def test_short_texts_lean_on_declaration_and_host(spark):
     model = langid.TextModel(["aa", "bb"], np.log(np.full((1 << 16, 3), 1 / (1 << 16))))
     data = [(i, "some text", "aa" if i < 30 else "bb", "h1" if i < 30 else "h2", None) for i in range(60)]
