@@ -1,8 +1,9 @@
 """Keyed surrogates for personal data, in DataFrame expressions only.
 
 Found are e-mail addresses, IPv4 addresses, phone numbers, card numbers, social security numbers,
-secret tokens and persons' names (behind a form of address, or a listed given name before a
-capitalised word). Each match is replaced by a value of its own type:
+secret tokens and persons' names: behind forms of address or a listed given name (Latin, Cyrillic
+or Greek), all capitalised words that follow, with the initials and particles before them. Names in
+scripts without case (Han, Hangul, Kana) are not found. Each match is replaced by a value of its own type:
 
 * letters and digits are substituted one by one, vowel for vowel, consonant for consonant, within
   their script and case, by a shift that a keyed hash of the characters before gives; a second
@@ -11,7 +12,8 @@ capitalised word). Each match is replaced by a value of its own type:
 * numbers are substituted on their digits and put back into their own format; a card number keeps
   how far it is from a valid check digit, so valid ones stay valid;
 * an IPv4 address is a 32-bit number and goes through a keyed Feistel network, one to one as well;
-* listed given names are permuted within the list of their gender; other names are substituted
+* forms of address and particles stay; listed given names are permuted within the list of their
+  gender and script; other names are substituted
   letter by letter and substituted again while the outcome is a listed name;
 * names found anywhere in a text are replaced at each later or earlier mention in that text.
 
@@ -37,10 +39,27 @@ NEUTRAL_TITLES = ["Dr", "Prof"]
 MALE_NAMES = ["James", "John", "Robert", "Michael", "William", "David", "Richard", "Joseph", "Thomas", "Charles", "Daniel", "Matthew", "Anthony", "Paul", "Mark", "Peter", "George", "Henry", "Hans", "Klaus", "Jürgen", "Pierre", "Jean", "Jacques", "Michel", "Carlos", "José", "Juan", "Luis", "Miguel"]
 FEMALE_NAMES = ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Nancy", "Lisa", "Margaret", "Sandra", "Emily", "Anna", "Emma", "Alice", "Ursula", "Monika", "Petra", "Marie", "Sophie", "Camille", "Claire", "Carmen", "María", "Lucía", "Isabel", "Elena"]
 
-_NAME = r"\p{Lu}[\p{L}'’-]*\p{Ll}"
-_TITLES = "|".join(MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES)
-_GIVEN = "|".join(MALE_NAMES + FEMALE_NAMES)
-PERSON = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLES})\.? (?:{_NAME})(?: {_NAME})?|(?:{_GIVEN}) {_NAME})(?![\p{{L}}\p{{N}}])"
+# The same in Cyrillic and Greek.
+OTHER_TITLES = ["Господин", "господин", "Госпожа", "госпожа", "г-н", "г-жа", "Доктор", "доктор", "Профессор", "профессор", "д-р", "Κύριος", "κύριος", "Κύριο", "κύριο", "Κυρία", "κυρία", "Δρ"]
+OTHER_NAMES = [
+    ["Иван", "Пётр", "Алексей", "Сергей", "Дмитрий", "Николай", "Александр", "Михаил", "Андрей", "Владимир"], ["Анна", "Мария", "Елена", "Ольга", "Наталья", "Татьяна", "Ирина", "Светлана", "Екатерина"],
+    ["Γιώργος", "Νίκος", "Δημήτρης", "Κώστας", "Γιάννης", "Παύλος"], ["Μαρία", "Ελένη", "Κατερίνα", "Σοφία", "Άννα"],
+]
+#: Words inside names that stay as they are.
+PARTICLES = ["van", "von", "vom", "zu", "zur", "der", "den", "ten", "ter", "de", "del", "della", "di", "da", "das", "do", "dos", "du", "des", "la", "las", "los", "le", "y", "e", "bin", "ibn", "al", "el", "af", "av"]
+
+TITLES = MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES + OTHER_TITLES
+GIVEN = [MALE_NAMES, FEMALE_NAMES, *OTHER_NAMES]
+
+_END = r"(?![\p{L}\p{N}])"
+_INITIAL = r"(?:\p{Lu}\.-?)+|\p{Lu}"
+_NAME = rf"\p{{Lu}}[\p{{L}}'’-]*\p{{Ll}}{_END}"
+_TITLES = "|".join(TITLES)
+_GIVEN = "|".join(x for names in GIVEN for x in names)
+_BEFORE = rf"(?:(?:{_INITIAL}|{'|'.join(PARTICLES)}) )*+"
+#: A name's words, as many as there are; each round is taken for good, so that long runs need no stack.
+_WORDS = rf"{_BEFORE}{_NAME}(?: (?!(?:{_TITLES})\.? ){_BEFORE}{_NAME})*+"
+PERSON = rf"(?=[\p{{Lu}}гдпκ])(?<![\p{{L}}\p{{N}}])(?:(?:(?:{_TITLES})\.? ){{1,4}}{_WORDS}|(?:{_GIVEN}) {_WORDS})"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62})\.)+\p{L}{2,24}(?![\p{L}\p{N}])"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.[0-9])"
@@ -57,7 +76,7 @@ _FOUND = "(?<![\\p{L}\\p{N}])(?:" + "|".join(KINDS.values()) + ")"
 _SIGN = "[0-9@]|[a-fA-F]{32}|sk-|ghp_|AKIA"
 
 # The alphabets within which characters are substituted.
-ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãåèéêëìíîïòóôõùúûýÿäöü", "ñçšžčćđłńśźż", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
+ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãåèéêëìíîïòóôõùúûýÿäöü", "ñçšžčćđłńśźż", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώ"]
 HEX = "0123456789abcdef"
 #: Ranges of letters without case that are shifted within themselves: Han, Hangul, Hiragana, Katakana.
 WIDE = [(0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0x3041, 0x3096), (0x30A1, 0x30FA)]
@@ -146,15 +165,15 @@ def _ip(value: Column, key: str) -> Column:
 
 
 def next_names(key: str) -> dict[str, str]:
-    """For each listed given name the one after it in its gender's keyed order."""
+    """For each listed given name the one after it in its gender's and script's keyed order."""
     out = {}
-    for names in (MALE_NAMES, FEMALE_NAMES):
+    for names in GIVEN:
         order = sorted(names, key=lambda x: hashlib.sha256(f"{key}\x1fgiven\x1f{x}".encode()).digest())
         out |= dict(zip(order, order[1:] + order[:1], strict=True))
     return out
 
 
-_KEPT = [t + dot for t in MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES for dot in ("", ".")]
+_KEPT = [t + dot for t in TITLES for dot in ("", ".")] + PARTICLES
 _TAIL = {"email": r"\.\p{L}+$"}
 _HEAD = {"phone": r"^\+[0-9]{1,3}(?=[ .-])", "token": "^(?:sk-|ghp_|AKIA)?"}
 
@@ -209,10 +228,10 @@ def surrogate_of(value: Column, kind: Column, key: str) -> Column:
 
 
 def _name_words(text: Column) -> Column:
-    """The words of the names found in a text, without titles and listed given names."""
-    known = MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES + MALE_NAMES + FEMALE_NAMES
-    known = known + [f"{t}." for t in MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES]
-    return F.array_distinct(F.filter(F.flatten(F.transform(F.regexp_extract_all(text, F.lit(PERSON), F.lit(0)), lambda m: F.split(m, " "))), lambda w: ~w.isin(known)))
+    """The words of the names found in a text, without titles, particles, initials and listed given names."""
+    known = _KEPT + [x for names in GIVEN for x in names]
+    words = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(PERSON), F.lit(0)), lambda m: F.split(m, " ")))
+    return F.array_distinct(F.filter(words, lambda w: ~w.isin(known) & ~w.rlike(f"^(?:{_INITIAL})$")))
 
 
 def entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -186,6 +186,21 @@ def test_surrogates(spark):
     assert other[0] != got[0].text
 
 
+def test_no_word_of_a_long_name_is_left(spark):
+    texts = {
+        "Dr Mary Ann Evans came. Evans left.": ["Evans"], "then John Paul Jones, and Jones too": ["Jones"], "John F. Kennedy and Mr J. R. Tolkien": ["Kennedy", "Tolkien"],
+        "Prof. Dr. Hans von der Leyen": ["Leyen"], "Herr Dr. Ludwig van Beethoven Bach": ["Ludwig", "Beethoven", "Bach"], "John F Smithers; Mr. J.R.R. Martin": ["Smithers", "Martin"],
+        "Иван Петрович Сидоров и г-жа Кузнецова": ["Петрович", "Сидоров", "Кузнецова"], "Γιώργος Παπαδόπουλος": ["Παπαδόπουλος"], "Mr John Smith Mrs. Jones": ["Smith", "Jones"],
+    }
+    df = spark.createDataFrame([*enumerate(texts), (50, "Mr " + "Abel Cain " * 20000)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.surrogate(df, "key").collect()}
+    for i, (text, words) in enumerate(texts.items()):
+        assert not [w for w in words if w in got[i]], (text, got[i])
+    assert " von der " in got[3] and got[3].startswith("Prof. Dr. ") and "г-жа" in got[6]
+    assert re.fullmatch(r"\w+ [A-Z]\. \w+ and Mr [A-Z]\. [A-Z]\. \w+", got[2])
+    assert "Abel" not in got[50] and "Cain" not in got[50]
+
+
 def test_surrogates_are_distinct(spark):
     rng = random.Random(9)
     values = sorted({".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(300)} | {f"u{i}@x{i % 7}.example.com" for i in range(300)} | {f"+1 ({rng.randrange(1000):03}) 555-{i:04}" for i in range(200)} | {f"4{i:015}" for i in range(200)})
