@@ -2,16 +2,54 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 from glotspark.llm.bytewords import arrow_texts, raw
 
 #: Bytes of text in a batch that a worker handles at once.
 BATCH_BYTES = 4 << 20
 
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches that go to Python workers have about BATCH_BYTES. A session that has set its own size keeps it.
+
+    Spark's default, 64 MB for each task, stands several times in an executor: in the JVM's own
+    buffers, in the worker's, and in what the worker makes of it.
+    """
+    if spark.conf.get(_BATCH_CONF, None) in (f"{_BATCH_DEFAULT}b", str(_BATCH_DEFAULT), "64MB", "64m"):
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
+def _give_back() -> None:
+    """What Arrow and the allocator hold unused goes back to the system; idle workers stay beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def map_arrow(df: DataFrame, run: Run, schema) -> DataFrame:
+    """mapInArrow over batches of bounded size, by workers that give back memory when a task ends."""
+    bound_batches(df.sparkSession)
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(freed, schema)
+
 
 def text_slices(batch: pa.RecordBatch, column: str, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts have about size bytes; at least one row each."""
@@ -23,13 +61,13 @@ def text_slices(batch: pa.RecordBatch, column: str, size: int = BATCH_BYTES) ->
 
 
 def add_columns(
-    batches: Iterator[pa.RecordBatch], column: str, make: Callable[[pa.RecordBatch], dict[str, pa.Array]]
+    batches: Iterator[pa.RecordBatch], column: str, make: Callable[[pa.RecordBatch], dict[str, pa.Array]], size: int = BATCH_BYTES, without: tuple[str, ...] = ()
 ) -> Iterator[pa.RecordBatch]:
-    """Each slice with the columns that make() gives for it put behind or over its own."""
+    """Each slice with the columns that make() gives for it put behind or over its own; some of its own left out."""
     for batch in batches:
-        for part in text_slices(batch, column):
+        for part in text_slices(batch, column, size):
             new = make(part)
-            kept = [(n, c) for n, c in zip(part.schema.names, part.columns, strict=True) if n not in new]
+            kept = [(n, c) for n, c in zip(part.schema.names, part.columns, strict=True) if n not in new and n not in without]
             yield pa.RecordBatch.from_arrays([c for _, c in kept] + list(new.values()), names=[n for n, _ in kept] + list(new))
 
 

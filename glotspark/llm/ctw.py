@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glotspark.llm import bytewords as bw
-from glotspark.llm.batches import Runs
+from glotspark.llm.batches import Runs, map_arrow
 from glotspark.llm.store import Stash
 
 #: Bytes of context.
@@ -176,7 +176,7 @@ def gather(docs: DataFrame, depth: int) -> DataFrame:
                 yield from out(False)
         yield from out(True)
 
-    summed = docs.mapInArrow(run, "kind string, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    summed = docs.transform(map_arrow, run, "kind string, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     return summed.where("kind = 'gram' or n > 0")
 
 
@@ -306,7 +306,7 @@ def scores(grams: DataFrame, depth: int, stash: Stash) -> DataFrame:
     suffix = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * low)) - 1)).alias("suffix")
     dealt = grams.select("key", "n", suffix).repartition("suffix").sortWithinPartitions("suffix")
     kind = "key long, n long, " + ", ".join(f"{b} float" for b in bits) + ", node int, context long, zeros long, ones long, weighted double"
-    weighed = stash.keep(dealt.mapInArrow(run, kind), "tree")
+    weighed = stash.keep(dealt.transform(map_arrow, run, kind), "tree")
     tree = grams.sparkSession.sparkContext.broadcast(top(weighed.where("node is not null").select(*named), low))
 
     def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +315,7 @@ def scores(grams: DataFrame, depth: int, stash: Stash) -> DataFrame:
             value = tree.value.log2(batch.column("key").to_numpy().view(np.uint64), below)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array(value)], names=["key", "n", "log2"])
 
-    return stash.keep(weighed.where("node is null").select("key", "n", *bits).mapInArrow(end, "key long, n long, log2 double"), "scores")
+    return stash.keep(weighed.where("node is null").select("key", "n", *bits).transform(map_arrow, end, "key long, n long, log2 double"), "scores")
 
 
 def hot(counts: DataFrame, bound: int) -> tuple[DataFrame, DataFrame]:
@@ -402,7 +402,7 @@ def score(docs: DataFrame, doc: str = "doc_id", text: str = "text", folds: int =
             )
 
     kind = slim.schema["doc_id"].dataType.simpleString()
-    scored = slim.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, seen long, base double, log2 double, size long, rest array<long>, rare array<long>, rare_n array<long>")
+    scored = slim.transform(map_arrow, run, f"doc_id {kind}, held_out boolean, n_tokens long, seen long, base double, log2 double, size long, rest array<long>, rare array<long>, rare_n array<long>")
     scored = stash.keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rest = scored.select("row", F.explode("rest").alias("key")).join(tail, "key").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_base"))
     rare = scored.select("row", F.explode(F.arrays_zip(F.col("rare").alias("key"), F.col("rare_n").alias("times"))).alias("g")).select("row", "g.key", "g.times")

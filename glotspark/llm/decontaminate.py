@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glotspark.llm import bytewords as bw
-from glotspark.llm.batches import add_columns
+from glotspark.llm.batches import add_columns, map_arrow
 from glotspark.llm.store import Stash
 
 #: Words in a window.
@@ -133,7 +133,7 @@ def _scan_part(docs: DataFrame, tests, text: str, first: bool) -> DataFrame:
         yield from add_columns(batches, text, make)
 
     kept = [f for f in docs.schema.fields if f.name not in OUTPUTS]
-    return docs.mapInArrow(run, T.StructType(kept + [T.StructField(n, t) for n, t in OUTPUTS.items()]))
+    return docs.transform(map_arrow, run, T.StructType(kept + [T.StructField(n, t) for n, t in OUTPUTS.items()]))
 
 
 T_ARROW = {
@@ -186,4 +186,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
         yield from add_columns(batches, text, make)
 
     fields = [f for f in found.schema.fields if f.name != text] + [T.StructField(text, T.StringType())]
-    return found.mapInArrow(run, T.StructType(fields)).select(docs.columns)
+    return found.transform(map_arrow, run, T.StructType(fields)).select(docs.columns)

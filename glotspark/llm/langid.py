@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glotspark.llm import bytewords as bw
-from glotspark.llm.batches import add_columns
+from glotspark.llm.batches import add_columns, map_arrow
 from glotspark.llm.store import Stash
 
 #: Rows of each label that the text model is fitted on (about; all of a label with no more).
@@ -113,7 +113,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
 
     edge = F.create_map(*[F.lit(x) for pair in edges for x in pair])
     sample = told.where(F.col("h") <= F.element_at(edge, F.col("label")))
-    counts = sample.mapInArrow(run, "label string, cell long, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
+    counts = sample.transform(map_arrow, run, "label string, cell long, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
     found = counts.toArrow()  # at most languages x cells
     own = pa.compute.dictionary_encode(found.column("label").combine_chunks())
     languages = sorted(own.dictionary.to_pylist())
@@ -162,7 +162,7 @@ def identify(rows: DataFrame, model: TextModel, text: str = "text", declared: st
         yield from add_columns(batches, text, make)
 
     fields = [f for f in rows.schema.fields if f.name not in (text, "_logs")]
-    logs = rows.mapInArrow(run, T.StructType([*fields, T.StructField("_logs", T.ArrayType(T.DoubleType())), T.StructField(text, T.StringType())])).drop(text)
+    logs = rows.transform(map_arrow, run, T.StructType([*fields, T.StructField("_logs", T.ArrayType(T.DoubleType())), T.StructField(text, T.StringType())])).drop(text)
     shares = F.transform("_logs", lambda x: F.exp(x - F.array_max("_logs")))
     logs = logs.withColumn("_empty", F.forall("_logs", lambda x: x == 0.0))
     base = stash.keep(logs.withColumn("_share", F.transform(shares, lambda x: x / F.aggregate(shares, F.lit(0.0), lambda a, y: a + y))), "logs")

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from glotspark.llm.batches import add_columns
+from glotspark.llm.batches import add_columns, map_arrow
 from glotspark.llm.license_templates import TEMPLATES
 
 #: Size that a template must save, as a share of what the template's own compression takes.
@@ -200,4 +200,4 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         yield from add_columns(batches, text, make)
 
     new = {"n_blocks": T.LongType(), "n_confirmed": T.LongType(), "licenses": T.ArrayType(T.StringType()), "differences": T.ArrayType(T.StringType())}
-    return docs.mapInArrow(run, T.StructType([f for f in docs.schema.fields if f.name not in new] + [T.StructField(k, v) for k, v in new.items()]))
+    return docs.transform(map_arrow, run, T.StructType([f for f in docs.schema.fields if f.name not in new] + [T.StructField(k, v) for k, v in new.items()]))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glotspark.llm.batches import Runs
+from glotspark.llm.batches import Runs, map_arrow
 from glotspark.llm.components import components
 from glotspark.llm.store import Stash
 
@@ -119,9 +119,9 @@ def link_vectors(df: DataFrame, vec: str = "vec_id", embedding: str = "embedding
                         )
 
     kind = classes.schema["label"].dataType.simpleString()
-    rows = classes.mapInArrow(signed, f"label {kind}, dim int, t int, sign int, rep long, n long, x binary, signs binary")
+    rows = classes.transform(map_arrow, signed, f"label {kind}, dim int, t int, sign int, rep long, n long, x binary, signs binary")
     rows = rows.withColumn("bucket", F.xxhash64("label", "dim", "t", "sign"))
-    slim = classes.mapInArrow(signed, f"label {kind}, dim int, t int, sign int, rep long, n long, x binary, signs binary").select("label", "dim", "t", "sign")
+    slim = classes.transform(map_arrow, signed, f"label {kind}, dim int, t int, sign int, rep long, n long, x binary, signs binary").select("label", "dim", "t", "sign")
     large = slim.groupBy("label", "dim", "t", "sign").agg(F.count("*").alias("size")).where(F.col("size") > block)
     large = stash.keep(large.select(F.xxhash64("label", "dim", "t", "sign").alias("bucket"), F.ceil(F.col("size") / block).cast("int").alias("blocks")), "large")
     rows = rows.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -160,7 +160,7 @@ def link_vectors(df: DataFrame, vec: str = "vec_id", embedding: str = "embedding
                 yield from work(runs.take(batch.slice(at, 4096)))
         yield from work(runs.rest())
 
-    found = stash.keep(units.repartition("unit").sortWithinPartitions("unit").mapInArrow(linked, _EDGES), "links")
+    found = stash.keep(units.repartition("unit").sortWithinPartitions("unit").transform(map_arrow, linked, _EDGES), "links")
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     where = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")), stash).select(F.col("node").alias("rep"), "component")
     known = classes.join(sums, "rep", "left").join(where, "rep", "left")

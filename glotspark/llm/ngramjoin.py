@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glotspark.llm import bytewords as bw
-from glotspark.llm.batches import Runs
+from glotspark.llm.batches import Runs, map_arrow
 from glotspark.llm.components import components
 from glotspark.llm.neardup import forest
 from glotspark.llm.store import Stash
@@ -119,7 +119,7 @@ def _first_pass(docs: DataFrame, words: int) -> DataFrame:
                     k1[i], k2[i] = class_key(tokens)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(k1), pa.array(k2)], names=["doc_id", "n", "k1", "k2"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long")
+    return docs.transform(map_arrow, run, "doc_id long, n long, k1 long, k2 long")
 
 
 def _sheets(docs: DataFrame, bits, words: int, buckets: int) -> DataFrame:
@@ -164,7 +164,7 @@ def _sheets(docs: DataFrame, bits, words: int, buckets: int) -> DataFrame:
             yield sheet()
 
     place = F.pmod(F.xxhash64("doc_id"), F.lit(_BITMAP))
-    return docs.where("doc_id is not null").select("doc_id", "text", place.alias("place")).mapInArrow(run, "sheet long, bucket int, texts int, payload binary")
+    return docs.where("doc_id is not null").select("doc_id", "text", place.alias("place")).transform(map_arrow, run, "sheet long, bucket int, texts int, payload binary")
 
 
 def _live(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -230,8 +230,8 @@ def _live(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
 
     kind = "sheet long, bucket int, texts int, payload binary"
     sheets = _sheets(docs, bits, words, buckets).withColumn("deal", F.when(F.col("bucket") < 0, F.xxhash64("sheet")).otherwise(F.xxhash64("bucket")))
-    counted = sheets.repartition("deal").sortWithinPartitions("bucket").drop("deal").mapInArrow(count, kind)
-    return counted.repartition("sheet").sortWithinPartitions("sheet", "bucket").mapInArrow(decide, "k1 long").distinct()
+    counted = sheets.repartition("deal").sortWithinPartitions("bucket").drop("deal").transform(map_arrow, count, kind)
+    return counted.repartition("sheet").sortWithinPartitions("sheet", "bucket").transform(map_arrow, decide, "k1 long").distinct()
 
 
 def _strips(sets: DataFrame, cells: int) -> DataFrame:
@@ -246,7 +246,7 @@ def _strips(sets: DataFrame, cells: int) -> DataFrame:
         full = np.flatnonzero(strips.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([strips[k].tobytes() for k in full], pa.binary())], names=["strip", "counts"])
 
-    return sets.select("tokens").mapInArrow(run, "strip int, counts binary")
+    return sets.select("tokens").transform(map_arrow, run, "strip int, counts binary")
 
 
 def _counters(strips: DataFrame, cells: int) -> np.ndarray:
@@ -266,9 +266,9 @@ def _counters(strips: DataFrame, cells: int) -> np.ndarray:
 
     # two steps, so that no task reads all rows of a strip from a large table
     part = strips.withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(64)))
-    first = part.repartition("strip", "part").sortWithinPartitions("strip").select("strip", "counts").mapInArrow(_summed, "strip int, counts binary")
+    first = part.repartition("strip", "part").sortWithinPartitions("strip").select("strip", "counts").transform(map_arrow, _summed, "strip int, counts binary")
     out = np.zeros(cells, np.uint64)
-    for row in first.repartition("strip").sortWithinPartitions("strip").mapInArrow(run, "strip int, counts binary").toLocalIterator():
+    for row in first.repartition("strip").sortWithinPartitions("strip").transform(map_arrow, run, "strip int, counts binary").toLocalIterator():
         out[row.strip * min(_STRIP, cells) :][: min(_STRIP, cells)] = np.frombuffer(row.counts, np.uint64)
     return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
 
@@ -308,7 +308,7 @@ def _prefixes(sets: DataFrame, cells, percent: int, hot: int) -> DataFrame:
                 if tokens:
                     yield _prefix_batch(tokens, keys, sizes, places, table, edge)
 
-    return sets.select("k1", "tokens").mapInArrow(run, "token long, k1 long, n int, at int, hot boolean")
+    return sets.select("k1", "tokens").transform(map_arrow, run, "token long, k1 long, n int, at int, hot boolean")
 
 
 def _prefix_batch(tokens, keys, sizes, places, table, edge) -> pa.RecordBatch:
@@ -358,7 +358,7 @@ def _candidates(prefixes: DataFrame, few: int, percent: int) -> DataFrame:
         yield from work(runs.rest())
 
     deal = F.when(F.col("hot"), F.xxhash64("token", "k1")).otherwise(F.col("token"))
-    return prefixes.withColumn("deal", deal).repartition("deal").sortWithinPartitions("token", "k1").drop("deal").mapInArrow(run, "a long, b long, kind int")
+    return prefixes.withColumn("deal", deal).repartition("deal").sortWithinPartitions("token", "k1").drop("deal").transform(map_arrow, run, "a long, b long, kind int")
 
 
 def _bitmap(ids: DataFrame, name: str) -> np.ndarray:
@@ -388,7 +388,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 )
 
     place = F.pmod(F.xxhash64("doc_id"), F.lit(_BITMAP))
-    found = docs.where("doc_id is not null").select("doc_id", "text", place.alias("place")).mapInArrow(run, "doc_id long, k1 long, n long, spread binary, tokens binary")
+    found = docs.where("doc_id is not null").select("doc_id", "text", place.alias("place")).transform(map_arrow, run, "doc_id long, k1 long, n long, spread binary, tokens binary")
     return found.join(wanted, (found.doc_id == wanted.rep) & (found.k1 == wanted.k1)).select("rep", found.k1, "n", "spread", "tokens").dropDuplicates(["rep", "k1"])
 
 
@@ -422,8 +422,8 @@ def _verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int, stash: Stas
                 good[i] = 100 * common >= percent * (len(x) + len(y) - common)
             yield batch.filter(pa.array(good)).select(["rep_a", "rep_b"])
 
-    left = stash.keep(both(pairs, ["n", "spread"]).mapInArrow(suffix, "a long, b long"), "suffix")
-    return both(left, ["rep", "tokens"]).mapInArrow(verify, "rep_a long, rep_b long").toDF("rep", "other")
+    left = stash.keep(both(pairs, ["n", "spread"]).transform(map_arrow, suffix, "a long, b long"), "suffix")
+    return both(left, ["rep", "tokens"]).transform(map_arrow, verify, "rep_a long, rep_b long").toDF("rep", "other")
 
 
 def _compared_blocks(groups: DataFrame, sets: DataFrame, percent: int, block: int, stash: Stash) -> DataFrame:
@@ -474,7 +474,7 @@ def _compared_blocks(groups: DataFrame, sets: DataFrame, percent: int, block: in
                 yield from work(runs.take(batch.slice(at, 256)))
         yield from work(runs.rest())
 
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "rep long, other long")
+    return units.repartition("unit").sortWithinPartitions("unit").transform(map_arrow, run, "rep long, other long")
 
 
 def common_counts(sets: list[np.ndarray], wide: int = 4096) -> np.ndarray:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from glotspark.llm import bytewords as bw
-from glotspark.llm.batches import add_columns
+from glotspark.llm.batches import add_columns, map_arrow
 
 #: The sign for a word's begin.
 BEGIN = "▁".encode()
@@ -229,4 +229,4 @@ def token_counts(df: DataFrame, pieces: Pieces, text: str = "text", n_tokens: st
         yield from add_columns(batches, text, make)
 
     kept = [f for f in df.schema.fields if f.name not in (n_tokens, n_words)]
-    return df.mapInArrow(run, T.StructType([*kept, T.StructField(n_tokens, T.LongType()), T.StructField(n_words, T.LongType())]))
+    return df.transform(map_arrow, run, T.StructType([*kept, T.StructField(n_tokens, T.LongType()), T.StructField(n_words, T.LongType())]))

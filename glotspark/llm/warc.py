@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glotspark.llm.batches import text_slices
+from glotspark.llm.batches import map_arrow, text_slices
 
 #: Bytes of a block in one chunk.
 CHUNK = 1 << 20
@@ -151,7 +151,7 @@ def write(pages: DataFrame, path: str, known: DataFrame, page: str = "page_id",
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["record"])
 
-    rows.mapInArrow(run, "record binary").select(F.col("record").cast("string")).write.mode("overwrite").option("lineSep", END).text(path)
+    rows.transform(map_arrow, run, "record binary").select(F.col("record").cast("string")).write.mode("overwrite").option("lineSep", END).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -164,7 +164,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
     lines = spark.read.option("lineSep", BETWEEN).text(path)
-    return lines.where("length(value) > 0").select(F.col("value").cast("binary").alias("record")).mapInArrow(run, RECORDS)
+    return lines.where("length(value) > 0").select(F.col("value").cast("binary").alias("record")).transform(map_arrow, run, RECORDS)
 
 
 def verified(chunks: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def verified(chunks: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=pa.schema(fields))
 
-    longer = chunks.where("n_chunks > 1").repartition("record_id").sortWithinPartitions("record_id", "chunk_no").mapInArrow(run, single.schema)
+    longer = chunks.where("n_chunks > 1").repartition("record_id").sortWithinPartitions("record_id", "chunk_no").transform(map_arrow, run, single.schema)
     done = single.unionByName(longer)
     bad = F.raise_error(F.concat(F.lit("record "), F.col("record_id"), F.lit(" was not read as written")))
     return done.withColumn("payload_digest", F.when((F.col("read_digest") == F.col("payload_digest")) & (F.col("read_bytes") == F.col("payload_bytes")), F.col("read_digest")).otherwise(bad.cast("string"))).drop("read_bytes", "read_digest")

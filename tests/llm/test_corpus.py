@@ -307,17 +307,34 @@ def test_bpe(spark):
 
     path, enc = P.path("byte_bpe_50k.tiktoken"), bpe.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     rng = random.Random(2)
-    texts = [None, "", "It's  a\n\ntest  ", "naïve 中文 <|endoftext|> 🙂", "a" * 3000, "x1" * 900, "word's 'll\t\t" * 700, "".join(rng.choice("ab1 .'\n é") for _ in range(5000))]
+    texts = [None, "", " " * 300 + "a", "\u3000 \t" * 50 + "'s", "ที่นี่" * 90, "中文，" * 80, "مرحبا" * 60, "It's  a\n\ntest  ", "naïve 中文 <|endoftext|> 🙂", "a" * 3000, "x1" * 900, "word's 'll\t\t" * 700, "".join(rng.choice("ab1 .'\n é") for _ in range(5000))]
     for t in texts:
         want = enc.encode_ordinary(t or "")
         for size in (7, 100, 1 << 16):
             assert bpe.encode_text(t, enc, size).tolist() == want
     df = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
-    out = bpe.decode(bpe.encode(df, path, P.PATTERN), path, P.PATTERN).collect()
+    both = bpe.round_trip(df, path, P.PATTERN)
+    assert sorted(map(str, rows(both, "doc_id", "ids", "decoded"))) == sorted(map(str, rows(bpe.decode(bpe.encode(df, path, P.PATTERN), path, P.PATTERN), "doc_id", "ids", "decoded")))
+    assert bpe.round_trip(df, path, P.PATTERN, keep_text=False).columns == ["doc_id", "ids", "n_tokens", "decoded"] and bpe.round_trip(df.limit(0), path, P.PATTERN).count() == 0
+    out = sorted(both.collect(), key=lambda r: r.doc_id)
     assert [bytes(r.decoded) for r in out] == [(t or "").encode() for t in texts]
     assert [r.n_tokens for r in out] == [len(enc.encode_ordinary(t or "")) for t in texts]
 
 
+def test_bpe_of_runs_that_the_pattern_cannot_take():
+    import public_tokenizers as P
+
+    enc = bpe.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    for run in (" " * 1_000_000, "\n" * 999_999, "a" * 1_000_000, "ب" * 300_000, "ที่" * 70_000, "1!" * 200_000, "中文" * 200_000):
+        for text in (run, "head" + run + "tail", run + " x " + run):
+            ids = bpe.encode_text(text, enc)
+            assert enc.decode_bytes(ids.tolist()) == text.encode()
+            matches = [m[0].encode() for m in bpe._matcher(P.PATTERN).finditer(text)]
+            assert b"".join(matches) == text.encode()
+            if len(matches) < 9:
+                assert ids.tolist() == [i for m in matches for i in enc._encode_single_piece(m)]
+
+
 # --- 6
 
 
