@@ -59,9 +59,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    done = bpe.decode(bpe.encode(docs, ranks, pattern), ranks, pattern)
-    same = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")).cast("binary"))
-    return done.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), same.alias("lossless"))
+    own = F.sha2(F.coalesce("text", F.lit("")), 256)
+    done = bpe.round_trip(docs.select("doc_id", "lang", "source", "text", own.alias("_own")), ranks, pattern, keep_text=False)
+    return done.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), (F.sha2("decoded", 256) == F.col("_own")).alias("lossless"))
 
 
 STAGES = [
