@@ -6,7 +6,8 @@ is flat. The rules for texts need no more grammar than that. Positions count cod
 What is found: JSX text; runs of JSX text and {expressions} as one message; template literals;
 string literals outside of + chains; + chains of literals and other operands. Nothing below a
 call of intl.get or intl.getHTML is. Variables of a message are named after identifiers and
-member expressions, else value<i>.
+member expressions, else value<i>. Texts below a skipped call, below t(), in a module's name, a case
+label, an object's key or the body of an enum are found but never replaced.
 
 A file that cannot be scanned gives one row with an error and never fails its task.
 """
@@ -241,8 +242,19 @@ class Site:
     getter: tuple[int, str] | None
 
 
+#: Calls whose arguments stay, where the configuration does not say otherwise.
+SKIP = ("console", "require", "import")
+#: Calls that translate already.
+TRANSLATORS = ("t",)
+
+
+def has_jsx(nodes: list[Node]) -> bool:
+    """Whether an element or a fragment stands anywhere in the tree."""
+    return any(n.kind == "jsx" or n.kind == "group" and has_jsx(n.kids) or n.kind == "template" and any(has_jsx(k) for k in n.kids) for n in nodes)
+
+
 class Extractor:
-    def __init__(self, source: str, jsx: bool = True, script: re.Pattern = SCRIPT, skip: tuple[str, ...] = ("console", "require", "import")):
+    def __init__(self, source: str, jsx: bool = True, script: re.Pattern = SCRIPT, skip: tuple[str, ...] = SKIP):
         self.source, self.script, self.skip = source, script, skip
         self.frozen, self.attribute = 0, False
         self.lines = [0] + [m.end() for m in re.finditer("\n", source)]
@@ -252,6 +264,7 @@ class Extractor:
         self.sites: list[Site] = []
         self.depth = 0
         tree = Scanner(source, jsx).items(None)
+        self.has_jsx = has_jsx(tree)
         self.top_level(tree)
         self.walk(tree)
 
@@ -321,6 +334,7 @@ class Extractor:
 
     def walk(self, nodes: list[Node], intl: bool = False, plus: bool = False) -> None:
         part: list[tuple[int, Node]] = []
+        body = False  # of an arrow function, without braces
         for i, n in enumerate([*nodes, None]):
             stop = n is None or n.kind == "op" and n.value in _BREAKS or n.kind == "name" and n.value in _BREAK_WORDS
             if not stop:
@@ -333,6 +347,10 @@ class Extractor:
             for j, x in part:
                 self.visit(nodes, j, x, intl, plus or bool(found))
             part = []
+            if body and (n is None or n.value in (",", ";", "const", "let", "var", "export", "import")):
+                self.depth, body = self.depth - 1, False
+            if n is not None and n.value == "=>" and not body and nodes[i + 1 : i + 2] and nodes[i + 1].value != "{":
+                self.depth, body = self.depth + 1, True
 
     def visit(self, nodes: list[Node], i: int, n: Node, intl: bool, plus: bool) -> None:
         if n.kind == "string":
@@ -348,8 +366,9 @@ class Extractor:
             for k in n.kids:
                 self.walk(k, intl, plus)
         elif n.kind == "group":
-            called = n.value == "(" and i > 0 and (nodes[i - 1].kind == "name" and nodes[i - 1].value not in _BREAK_WORDS | {"function", "catch", "switch"} or nodes[i - 1].kind == "group" and nodes[i - 1].value != "{")
-            still, code = called and self.skipped(self.callee(nodes, i)), n.value == "{" and i > 0 and (nodes[i - 1].value == "=>" or nodes[i - 1].kind == "group")
+            called = n.value == "(" and i > 0 and (nodes[i - 1].kind == "name" and nodes[i - 1].value not in (_BREAK_WORDS - {"import"}) | {"function", "catch", "switch"} or nodes[i - 1].kind == "group" and nodes[i - 1].value != "{")
+            members = n.value == "{" and i > 1 and (nodes[i - 2].kind, nodes[i - 2].value) == ("name", "enum")
+            still, code = members or called and self.skipped(self.callee(nodes, i)), n.value == "{" and i > 0 and (nodes[i - 1].value == "=>" or nodes[i - 1].kind == "group")
             self.frozen += still
             self.depth += code
             self.walk(n.kids, intl or n.value == "(" and self.intl_call(nodes, i), plus and n.value != "{")
@@ -368,7 +387,7 @@ class Extractor:
         return f"{nodes[i - 3].value}.{nodes[i - 1].value}" if simple else nodes[i - 1].value
 
     def skipped(self, name: str | None) -> bool:
-        return name is None or any(name == s or "." not in s and name.startswith(s + ".") for s in self.skip)
+        return name is None or name in TRANSLATORS or any(name == s or "." not in s and name.startswith(s + ".") for s in self.skip)
 
     def property_key(self, nodes: list[Node], i: int) -> Node | None:
         """The key of the object property whose value begins here; None elsewhere and for computed keys."""
@@ -461,8 +480,8 @@ def extract(source: str, jsx: bool = True, script: re.Pattern = SCRIPT) -> tuple
     return sorted(e.found, key=lambda x: (x[2], x[3])), e.tops
 
 
-def rewrite(source: str, key_of: dict[str, str], jsx: bool = True, module: str = "react-intl-universal", skip: tuple[str, ...] = ("console", "require", "import")) -> tuple[str, int]:
-    """The source with each text that has a key replaced by a call of intl.get, and how many were.
+def rewrite(source: str, key_of: dict[str, str], jsx: bool = True, module: str = "react-intl-universal", skip: tuple[str, ...] = SKIP) -> tuple[str, int, int]:
+    """The source with each text that has a key replaced by a call of intl.get, how many were, and how many became getters.
 
     Arguments of skipped calls, object keys, module names and case labels stay. A JSX text or
     attribute gets braces; a property of a module-level object becomes a getter, so that it is read
@@ -496,18 +515,23 @@ def rewrite(source: str, key_of: dict[str, str], jsx: bool = True, module: str =
         return "".join([*out, source[at:b]])
 
     if not sites:
-        return source, 0
+        return source, 0, 0
     new = part(0, len(source))
     if not re.search(rf"^\s*import\s+(?:\*\s+as\s+)?intl\b", source, re.M) and not re.search(r"\b(?:const|let|var)\s+intl\b", source):
         if m := re.search(rf"^\s*import\s+(\w+)[^;\n]*from\s+['\"]{re.escape(module)}['\"];?[^\n]*\n", new, re.M):
             new = new[: m.end()] + f"const intl = {m[1]};\n" + new[m.end() :]
         else:
             new = f"import intl from '{module}';\n" + new
-    return new, len(sites)
+    return new, len(sites), sum(x.getter is not None for x in sites)
+
 
+def may_hold_jsx(file: str | None) -> bool:
+    """All sources but plain TypeScript, where < also begins a cast."""
+    return not re.search(r"(?<!\.d)\.ts\Z", file or "")
 
-def rewritten(files: DataFrame, keys: DataFrame) -> DataFrame:
-    """files (file, content) with code and n_replaced; keys (file, text, key) as with_keys() gives them.
+
+def rewritten(files: DataFrame, keys: DataFrame, skip: tuple[str, ...] = SKIP) -> DataFrame:
+    """files (file, content) with code, n_replaced and n_getters; keys (file, text, key) as with_keys() gives them.
 
     Each file meets only its own keys, gathered by file; nothing is written back to the sources.
     """
@@ -520,18 +544,45 @@ def rewritten(files: DataFrame, keys: DataFrame) -> DataFrame:
             out = []
             for f, c, k in zip(frame["file"], frame["content"], frame["keys"], strict=True):
                 try:
-                    code, n = rewrite(c, dict(k or {}), jsx=not re.search(r"(?<!\.d)\.ts\Z", f))
-                    out.append((f, code, n, None))
+                    out.append((f, *rewrite(c, dict(k or {}), jsx=may_hold_jsx(f), skip=tuple(skip)), None))
                 except Exception as e:
-                    out.append((f, c, 0, str(e)[:500]))
-            yield pd.DataFrame(out, columns=["file", "code", "n_replaced", "error"])
+                    out.append((f, c, 0, 0, str(e)[:500]))
+            yield pd.DataFrame(out, columns=["file", "code", "n_replaced", "n_getters", "error"])
+
+    return files.join(own, "file", "left").select("file", "content", "keys").mapInPandas(run, "file string, code string, n_replaced long, n_getters long, error string")
+
+
+def facts(files: DataFrame, skip: tuple[str, ...] = SKIP) -> DataFrame:
+    """file, has_jsx, file_type, is_data, extracted, data_constants, skipped, error: a row for each of files (file, content).
+
+    A data file that holds JSX counts as a component's. extracted are the texts, skipped those of
+    them that are never replaced, data_constants the properties of module-level objects that become
+    getters. A file that cannot be scanned has nulls and an error.
+    """
+    from pyspark.sql import functions as F
+
+    from glotspark.functions import paths
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for f, c in zip(frame["file"], frame["content"], strict=True):
+                try:
+                    e = Extractor(c or "", may_hold_jsx(f), skip=tuple(skip))
+                    out.append((f, e.has_jsx, len(e.found), sum(x.getter is not None for x in e.sites), len(e.found) - len(e.sites), None))
+                except Exception as error:
+                    out.append((f, None, None, None, None, str(error)[:500]))
+            table = pd.DataFrame(out, columns=["file", "has_jsx", "extracted", "data_constants", "skipped", "error"])
+            yield table.astype({"has_jsx": "boolean"} | {c: "Int64" for c in ("extracted", "data_constants", "skipped")})
 
-    return files.join(own, "file", "left").select("file", "content", "keys").mapInPandas(run, "file string, code string, n_replaced long, error string")
+    rows = files.select("file", "content").mapInPandas(run, "file string, has_jsx boolean, extracted long, data_constants long, skipped long, error string")
+    path = F.col("file")
+    return rows.select("file", "has_jsx", paths.file_type(path).alias("file_type"), (paths.data_config_file(path) & ~F.coalesce("has_jsx", F.lit(False))).alias("is_data"), "extracted", "data_constants", "skipped", "error")
 
 
 def rows_of(file: str, content: str | None) -> list[tuple]:
     try:
-        found, tops = extract(content or "", jsx=not re.search(r"(?<!\.d)\.ts\Z", file or ""))
+        found, tops = extract(content or "", jsx=may_hold_jsx(file))
     except Exception as e:
         return [(file, 0, None, "error", None, None, None, None, None, None, str(e)[:500])]
     out = [(file, i, t, kind, a, b, line, names, None, None, None) for i, (t, kind, a, b, line, names) in enumerate(found)]
