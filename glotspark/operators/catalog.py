@@ -5,6 +5,8 @@ Order is explicit: (file, ord). The first file's context owns a text's key for a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,17 +31,41 @@ def last_wins(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(last).select(*by, *[F.col(f"_last.{c}").alias(c) for c in [*order, *rest]]).select(*rows.columns)
 
 
+def _vars(rows: DataFrame) -> Column:
+    return F.array_sort(F.coalesce("vars", F.array().cast("array<string>")))
+
+
+def owners(occurrences: DataFrame, context: Column | None = None) -> DataFrame:
+    """text, vars (sorted), file, ord, context: the first occurrence of each text with its variables, whose file owns the key."""
+    own = (paths.key_context(F.col("file")) if context is None else context).alias("context")
+    rows = occurrences.select("text", _vars(occurrences).alias("vars"), "file", "ord", own)
+    return first_wins(rows, ["text", "vars"], ["file", "ord"])
+
+
+def joined_keys(occurrences: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Occurrences with the key of their text and variables; keyed: text, vars (sorted), key."""
+    known = keyed.select(F.col("text").alias("_t"), F.col("vars").alias("_v"), "key")
+    rows = occurrences.withColumn("_vars", _vars(occurrences))
+    same = F.col("text").eqNullSafe(F.col("_t")) & (F.col("_vars") == F.col("_v"))
+    return rows.join(known, same, "left").drop("_t", "_v", "_vars")
+
+
 def with_keys(occurrences: DataFrame, strategy: str = "semantic", context: Column | None = None, **how) -> DataFrame:
     """Occurrences (file, ord, text, vars, ...) with the key that each uses.
 
     Equal texts with equal sorted variables share the key of the first.
     """
-    rows = occurrences.withColumn("_vars", F.array_sort(F.coalesce("vars", F.array().cast("array<string>"))))
-    own = (paths.key_context(F.col("file")) if context is None else context).alias("context")
-    first = first_wins(rows.select("text", "_vars", "file", "ord", own), ["text", "_vars"], ["file", "ord"])
-    keyed = first.select(F.col("text").alias("_t"), F.col("_vars").alias("_v"), text.context_key(F.col("text"), F.col("context"), strategy, **how).alias("key"))
-    same = F.col("text").eqNullSafe(F.col("_t")) & (F.col("_vars") == F.col("_v"))
-    return rows.join(keyed, same, "left").drop("_t", "_v", "_vars")
+    first = owners(occurrences, context)
+    return joined_keys(occurrences, first.withColumn("key", text.context_key(F.col("text"), F.col("context"), strategy, **how)))
+
+
+def first_keys(rows: DataFrame, key: Column, order: list[str], text_column: str = "text") -> DataFrame:
+    """key and order of the first row of each text, where the texts themselves are not asked for.
+
+    Texts are told apart by 192 bits of two hashes, taken before the shuffle: only those, the keys and the order go through it.
+    """
+    slim = rows.select(F.md5(F.encode(F.col(text_column), "UTF-8")).alias("_a"), F.xxhash64(text_column).alias("_b"), key.alias("key"), *order)
+    return slim.groupBy("_a", "_b").agg(F.min(F.struct(*order, "key")).alias("_first")).select("_first.key", *[f"_first.{c}" for c in order])
 
 
 def catalogue(keyed: DataFrame) -> DataFrame:
@@ -50,9 +76,13 @@ def catalogue(keyed: DataFrame) -> DataFrame:
 
 
 def collisions(keyed: DataFrame) -> DataFrame:
-    """key, texts: keys that stand for more than one text. Over a catalogue, which is unique by key, there are none."""
-    pairs = keyed.select("key", "text").distinct()
-    return pairs.groupBy("key").agg(F.array_sort(F.collect_list("text")).alias("texts")).where(F.size("texts") > 1)
+    """key, texts: keys that stand for more than one text. Over a catalogue, which is unique by key, there are none.
+
+    Only keys whose smallest and greatest text differ have their texts gathered.
+    """
+    several = keyed.groupBy("key").agg((F.min("text") < F.max("text")).alias("several")).where("several").select("key")
+    pairs = keyed.select("key", "text").join(several, "key", "left_semi").distinct()
+    return pairs.groupBy("key").agg(F.array_sort(F.collect_list("text")).alias("texts"))
 
 
 def position_join(collected: DataFrame, replaced: DataFrame) -> DataFrame:
@@ -60,7 +90,24 @@ def position_join(collected: DataFrame, replaced: DataFrame) -> DataFrame:
     return replaced.join(collected.select("file", "start", "end", "kind", "key"), ["file", "start", "end", "kind"])
 
 
-def batches(rows: DataFrame, size: int, order: list[str], by: list[str]) -> DataFrame:
-    """rows with batch_id: consecutive rows of a group, size at a time."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return rows.withColumn("batch_id", F.floor((place - 1) / size).cast("long"))
+def batches(rows: DataFrame, size: int, order: list[str], by: list[str], keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """rows with batch_id: consecutive rows of a group, size at a time.
+
+    With keep (which stores a table once) no group has to fit in a task: the rows are stored in
+    ranges of their order, each range is numbered on its own, and the numbers of rows in the ranges before
+    are added. Without, a window over each group numbers them.
+    """
+    if keep is None:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        return rows.withColumn("batch_id", F.floor((place - 1) / size).cast("long"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keep(rows.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most a row for each range
+    counts = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order))
+    same = F.col("_part") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    numbered = ranged.withColumn("_place", place).join(F.broadcast(counts), same)
+    return numbered.select(*rows.columns, F.floor((F.col("_before") + F.col("_place") - 1) / size).cast("long").alias("batch_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glotspark.functions.text import utf16_length
@@ -64,6 +64,12 @@ def warnings(top_level: DataFrame) -> DataFrame:
     return top_level.orderBy("file", F.coalesce("line", F.lit(0)))
 
 
+def file_stats(facts: DataFrame) -> DataFrame:
+    """file, extracted, data_constants, skipped, error of the sources' facts (see tsx.facts); nulls count as 0."""
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return facts.select("file", zero("extracted"), zero("data_constants"), zero("skipped"), "error")
+
+
 def warnings_markdown(top_level: DataFrame) -> str:
     """The warnings as a page with a table, or as a page that says there are none."""
     rows = warnings(top_level).collect()  # a page for people: one row per module-level constant in the sources
@@ -75,7 +81,16 @@ def warnings_markdown(top_level: DataFrame) -> str:
 
 
 def preview(rows: DataFrame, key: str, by: list[str], order: str, n: int = 5) -> DataFrame:
-    """The first n keys of each group, joined, with ... where there are more. A bounded heap per group."""
-    first = F.slice(F.array_sort(F.collect_list(F.struct(order, key))), 1, n)
-    named = rows.groupBy(*by).agg(F.count("*").alias("n"), first.alias("first"))
-    return named.select(*by, "n", F.concat(F.array_join(F.transform("first", lambda x: x[key]), ", "), F.when(F.col("n") > n, "...").otherwise("")).alias("preview"))
+    """The first n keys of each group, joined, with ... where there are more.
+
+    Ranks up to n are taken in each task before the shuffle, so a group of any size sends n rows a task.
+    """
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    first = rows.select(*by, order, key, rank.alias("_rank")).where(F.col("_rank") <= n)
+    listed = first.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_rank", key))).alias("_first"))
+    counts = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"c.{c}").eqNullSafe(F.col(f"l.{c}"))
+    named = counts.alias("c").join(listed.alias("l"), same)
+    return named.select(*[F.col(f"c.{c}").alias(c) for c in by], "n", F.concat(F.array_join(F.transform("_first", lambda x: x[key]), ", "), F.when(F.col("n") > n, "...").otherwise("")).alias("preview"))
