@@ -27,7 +27,7 @@ DEFAULTS: dict[str, Any] = {
     "project_root": None,
     "ai_provider": {"api_key": "", "api_url": "https://api.openai.com/v1/chat/completions", "model": "gpt-4o-mini", "temperature": 0.3, "max_tokens": 2000, "requests_per_minute": 20, "max_retries": 3, "headers": {}, "body": {}},
     "languages": {"source": DEFAULT_SOURCE, "targets": list(LANGUAGES), "map": LANGUAGES},
-    "translation": {"batch_size": 10, "max_tokens_per_request": 1000, "batch_delay": 300},
+    "translation": {"batch_size": 10, "max_tokens_per_request": 1000, "batch_delay": 300, "parallel_requests": 1},
     "key_generation": {"strategy": "semantic", "hash_length": 4, "max_semantic_length": 6, "use_type_prefix": True, "ai": {"enabled": False, "batch_size": 10, "fallback_to_semantic": True, "cache": {"file_path": ".cache/i18n-ai-cache", "ttl": 30, "enabled": True}}},
     "input": ["src/**/*.{ts,tsx,js,jsx}"],
     "ignore": ["**/node_modules/**", "**/locales/**", "**/*.d.ts", "**/*.test.{ts,tsx,js,jsx}", "**/*.spec.{ts,tsx,js,jsx}", "**/dist/**"],
@@ -153,3 +153,27 @@ def read_config(path: Path, command: str = "extract", mode: str = "default") ->
 def load_config(folder: str | Path, explicit: str | None = None, command: str = "extract", mode: str = "default") -> Config:
     path = find_config(folder, explicit)
     return create_config(read_config(path, command, mode) if path else {}, folder)
+
+
+def define_config(config: Any) -> Any:
+    """The configuration itself: for configuration modules that say what they define."""
+    return config
+
+
+_active: list[Config] = []
+
+
+def set_active_config(config: Config) -> Config:
+    """Makes a configuration the one that get_config() gives on this driver. Operators take theirs as a parameter."""
+    _active[:] = [config]
+    return config
+
+
+def get_config() -> Config:
+    """The active configuration; the defaults where none was set."""
+    return _active[0] if _active else set_active_config(create_config())
+
+
+def reset_config() -> Config:
+    """The defaults become active again."""
+    return set_active_config(create_config())

@@ -44,18 +44,19 @@ class RateLimited(Exception):
 class Limiter:
     """Spaces calls and repeats failing ones: 2^i seconds apart, or as long as the provider asks.
 
-    When the attempts are used up the last error is raised.
+    When the attempts are used up the last error is raised. delay: seconds between calls at least.
     """
 
     requests_per_minute: float = REQUESTS_PER_MINUTE
     retries: int = RETRIES
     sleep: Callable[[float], None] = time.sleep
     clock: Callable[[], float] = time.monotonic
+    delay: float = 0.0
     last: float = float("-inf")
 
     def call(self, f: Callable[[], str]) -> str:
         for attempt in range(self.retries):
-            wait = self.last + 60.0 / self.requests_per_minute - self.clock()
+            wait = self.last + max(60.0 / self.requests_per_minute, self.delay) - self.clock()
             if wait > 0:
                 self.sleep(wait)
             self.last = self.clock()
@@ -72,15 +73,19 @@ class Limiter:
         raise RuntimeError("no attempts allowed")
 
 
+def limiter_of(provider: dict, delay: float = 0.0, providers: int = 1) -> Callable[[], Limiter]:
+    """A limiter for each of some tasks that share the provider's rate."""
+    return lambda: Limiter(provider["requests_per_minute"] / providers, provider["max_retries"], delay=delay * providers)
+
+
 def prompt(source: str, target: str, entries: dict[str, str]) -> list[dict[str, str]]:
     """Messages for a chat endpoint."""
     rules = "Keep {placeholders}, tone and keys. Answer with one JSON object: the given keys, translated values."
     return [{"role": "system", "content": f"Translate interface texts from {source} to {target}. {rules}"}, {"role": "user", "content": json.dumps(entries, ensure_ascii=False)}]
 
 
-def requests(missing: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
+def requests(rows: DataFrame) -> DataFrame:
     """lang, batch_id, entries (array of key, text in order): one row per call."""
-    rows = batches(missing, size, ["ord", "key"], ["lang"])
     entry = F.array_sort(F.collect_list(F.struct("ord", "key", "text")))
     return rows.groupBy("lang", "batch_id").agg(F.transform(entry, lambda e: F.struct(e["key"].alias("key"), e["text"].alias("text"))).alias("entries"))
 
@@ -161,8 +166,8 @@ def translate(source: DataFrame, existing: DataFrame, languages: DataFrame, tran
     from glotspark.functions.text import needs_translation
 
     wanted = source.crossJoin(F.broadcast(languages)).join(existing.select("lang", "key", F.col("value").alias("existing")), ["lang", "key"], "left")
-    missing = keep(batches(wanted.where(needs_translation(F.col("existing"), force)), size, ["ord", "key"], ["lang"]), "missing")
-    replies = keep(call(requests(missing.drop("batch_id"), size), translator, providers, limiter), "replies")
+    missing = keep(batches(wanted.where(needs_translation(F.col("existing"), force)), size, ["ord", "key"], ["lang"], keep), "missing")
+    replies = keep(call(requests(missing), translator, providers, limiter), "replies")
     done = keep(reconcile(missing.select("lang", "batch_id", "key", "text", "existing"), responses(replies)), "reconciled")
     results = wanted.join(done.select("lang", "key", "value", "source"), ["lang", "key"], "left")
     results = results.select("lang", "key", "text", "ord", F.coalesce("value", "existing", F.lit("")).alias("value"), F.coalesce("source", F.lit("kept")).alias("source"))

@@ -131,12 +131,42 @@ def test_limiter():
         translate.Limiter(1e9, 2, sleep, lambda: now[0]).call(lambda: 1 / 0)
 
 
-def test_keys_from_a_generator(spark):
-    asked = spark.createDataFrame([("保存", "c1"), ("删除", "c2"), ("提交", "c3")], "text string, cache_key string")
+def test_batches_are_the_same_however_they_are_numbered(spark, tmp_path):
+    def keep(df, name):
+        df.write.mode("overwrite").parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    df = spark.createDataFrame([(i, ["en", "de", None][i % 5 % 3]) for i in range(97)], "id long, lang string").repartition(7)
+    want = sorted(map(str, catalog.batches(df, 10, ["id"], ["lang"]).collect()))
+    assert sorted(map(str, catalog.batches(df, 10, ["id"], ["lang"], keep).collect())) == want
+
+
+def test_preview(spark):
+    df = spark.createDataFrame([(i, f"k{i}", "ab"[i % 2] if i < 30 else None) for i in range(32)], "i int, k string, g string")
+    got = {r.g: (r.n, r.preview) for r in report.preview(df, "k", ["g"], "i", 3).collect()}
+    assert got == {"a": (15, "k0, k2, k4..."), "b": (15, "k1, k3, k5..."), None: (2, "k30, k31")}
+
+
+def test_keys_from_a_generator(spark, tmp_path):
+    def keep(df, name):
+        df.write.mode("overwrite").parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    said = [("保存", "c1"), ("删除", "c2"), ("提交", "c3"), ("删除", "c2")]
+    asked = spark.createDataFrame([(t, c, f"src/{i}.tsx", i) for i, (t, c) in enumerate(said)], "text string, cache_key string, file string, ord long").withColumn("request", aikeys.request_context(F.col("file")))
     cache = spark.createDataFrame([("c1", "save it"), ("c2", "?")], "cache_key string, key string")
-    rows = aikeys.generate(aikeys.split(asked, cache).coalesce(1), lambda texts: '["Delete Now"]' if texts[0] == "删除" else '["x", "?"]', size=1)
-    got = {r.cache_key: (r.key, r.origin) for r in rows.collect()}
-    assert got["c1"] == ("saveIt", "cache") and got["c2"] == ("deleteNow", "generated") and got["c3"][1] == "fallback"
+    ask = lambda items: '["Delete Now"]' if items[0]["text"] == "删除" else "`submit form`"
+    rows = aikeys.generate(aikeys.split(asked, cache), ask, keep, size=1)
+    assert {(r.cache_key, r.key, r.origin) for r in rows.collect()} == {("c1", "saveIt", "cache"), ("c2", "deleteNow", "generated"), ("c3", "submitForm", "generated")}
+    lost = aikeys.generate(aikeys.split(asked, cache), lambda items: "oops", keep, key_fallback=False)
+    assert {(r.cache_key, r.key, r.origin) for r in lost.collect()} >= {("c1", "saveIt", "cache")}
+
+
+def test_prompts():
+    one = aikeys.prompt([{"text": "甲", "context": {"textType": "text", "area": None}}])
+    assert one[1]["content"] == "text: 甲\ntextType: text"
+    assert "JSON array" in aikeys.prompt([{"text": "甲"}, {"text": "乙"}])[0]["content"]
+    assert "from zh to en" in translate.prompt("zh", "en", {})[0]["content"]
 
 
 def test_cache_ttl(spark):
