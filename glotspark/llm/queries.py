@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +13,18 @@ from glotspark.llm import bpe, ctw, decontaminate, langid, licenses, neardup, ng
 from glotspark.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from glotspark.llm.store import Stash, table
 
-#: The key of the surrogates where the caller has none of their own.
-PII_KEY = "glotspark"
+#: The session's setting that holds the key of the surrogates.
+SURROGATE_KEY = "spark.glotspark.surrogate.secret"
+
+
+@cache
+def _drawn_key() -> str:
+    return secrets.token_hex(16)
+
+
+def surrogate_key(spark: SparkSession) -> str:
+    """The session's key; where none is set one is drawn, so that nobody can undo the surrogates of this run."""
+    return spark.conf.get(SURROGATE_KEY, None) or _drawn_key()
 
 
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +41,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.surrogate(docs, PII_KEY)
+    return pii.surrogate(docs, surrogate_key(spark))
 
 
 def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,11 +58,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents (declared: lang, host: source) and pages (by their address and html), in one corpus."""
+    """Documents (host: source) and pages (by their address and html), in one corpus.
+
+    A document's lang is what the text model is fitted on, so it is no evidence for the document itself.
+    """
     documents, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
     none = F.lit(None)
     host = langid.address_host(F.col("url"))
-    rows = documents.select("doc_id", none.cast("long").alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), none.cast("string").alias("suffix")).unionByName(
+    rows = documents.select("doc_id", none.cast("long").alias("page_id"), "text", none.cast("string").alias("declared"), F.col("source").alias("host"), none.cast("string").alias("suffix")).unionByName(
         pages.select(none.cast("long").alias("doc_id"), "page_id", langid.visible_text(F.col("html")).alias("text"), langid.declared_language(F.col("html")).alias("declared"), host.alias("host"), langid.address_suffix(host).alias("suffix"))
     )
     return langid.identify(rows, langid.fit(documents))
@@ -59,7 +74,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, stash = table(spark, sf_dir, "pages"), Stash(spark, "warc")
     warc.write(pages, stash.path("archives"), stash.keep(warc.repeated(pages), "repeated"))
-    return warc.verified(warc.read(spark, stash.path("archives"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = warc.verified(warc.read(spark, stash.path("archives")), stash)
+    stash.drop("archives", "repeated", "chunks")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

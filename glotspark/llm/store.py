@@ -26,10 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Stash:
-    """A folder of its own for one run of an operator; drop() removes tables no longer needed."""
+    """A folder of its own for one run of an operator, removed when the driver ends; drop() removes tables no longer needed."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)  # results are read from here as long as the driver lives
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"

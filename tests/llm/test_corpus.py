@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from glotspark.llm import bpe, bytewords, components, ctw, decontaminate, langid, licenses, neardup, ngramjoin, pii, piececounts, warc
@@ -144,11 +145,21 @@ def test_decontamination(spark, max_bytes):
     got = rows(decontaminate.scan(docs, tests, max_bytes=max_bytes), "doc_id", "n_words", "n_hit", "items")
     assert sorted(got) == sorted((i, *plain_hits(t, items)) for i, t in [*enumerate(texts), (3, texts[3])])
     clean = decontaminate.decontaminate(docs, tests, "span")
-    assert clean.columns == docs.columns
+    assert clean.columns == docs.columns and {(r["items"], r.n_hit) for r in clean.collect()} == {("a", 7), ("b", 8)}
+    assert {(r["items"], r.n_hit) for r in decontaminate.decontaminate(docs, tests).collect()} <= {("a", 7), ("b", 8)}
+    assert decontaminate.scan(docs.limit(0), tests).count() == 0
     assert decontaminate.decontaminate(docs, tests).count() == sum(plain_hits(t, items)[1] == 0 for t in [*texts, texts[3]])
     assert decontaminate.scan(docs, tests.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_windows_of_long_texts_and_of_several_items(spark):
+    shared = "one two three four five six seven eight nine ten eleven"
+    tests = spark.createDataFrame([(1, shared), (2, f"x {shared}"), (2, "again " * 12)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "filler " * 300_000 + shared + " filler" * 9), (2, "again AGAIN, again again-again " * 30_000)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.scan(docs, tests).collect()}
+    assert got == {1: (300_020, 11, ["1", "2"]), 2: (150_000, 150_000, ["2"])}
+
+
 def test_spans_are_cut_out(spark):
     tests = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "é One, TWO three! end"), (2, None)], "doc_id long, text string")
@@ -201,15 +212,135 @@ def test_no_word_of_a_long_name_is_left(spark):
     assert "Abel" not in got[50] and "Cain" not in got[50]
 
 
+def plain_number(*parts):
+    return int(hashlib.sha256("\x1f".join(parts).encode()).hexdigest()[:10], 16)
+
+
+LETTERS = {c: g for g in reversed([*pii.ALPHABETS, *pii.script_letters(), *("".join(map(chr, range(a, b + 1))) for a, b in pii.WIDE)]) for c in g}
+
+
+def plain_substituted(value, key, kind, hexadecimal):
+    for way in ("on", "back"):
+        out = []
+        for i, c in enumerate(value):
+            low, shift = c.lower(), plain_number(key, kind, way, value[:i].lower())
+            letters = pii.HEX if hexadecimal and low in pii.HEX else LETTERS.get(low, low)
+            new = letters[(letters.index(low) + shift) % len(letters)]
+            out.append(new.upper() if low != c else new)
+        value = "".join(out)[::-1]
+    return value
+
+
+def plain_check(digits):
+    total = 0
+    for i, d in enumerate(digits[::-1]):
+        twice = int(d) * 2
+        total += (twice - 9 if twice > 9 else twice) if i % 2 == 0 else int(d)
+    return -total % 10
+
+
+def plain_surrogate(value, kind, key):
+    if kind == "ip":
+        a, b, c, d = map(int, value.split("."))
+        left, right = a * 256 + b, c * 256 + d
+        for i in range(1, 5):
+            left, right = right, left ^ plain_number(key, "ip", str(i), str(right)) % 65536
+        return f"{left >> 8}.{left % 256}.{right >> 8}.{right % 256}"
+    if kind == "person":
+        names, out = pii.next_names(key), []
+        for w in value.split(" "):
+            if w in [t + dot for t in pii.TITLES for dot in ("", ".")] + pii.PARTICLES:
+                out.append(w)
+            elif w in names:
+                out.append(names[w])
+            else:
+                w = plain_substituted(w, key, kind, False)
+                while w in names:
+                    w = plain_substituted(w, key, kind, False)
+                out.append(w)
+        return " ".join(out)
+    head = {"phone": r"^\+[0-9]{1,3}(?=[ .-])", "token": "^(?:sk-|ghp_|AKIA)?"}.get(kind)
+    head = (regex.search(head, value) or [""])[0] if head else ""
+    tail = regex.search(r"\.\p{L}+$", value)[0] if kind == "email" else ""
+    rest = value[len(head) : len(value) - len(tail)]
+    if kind in ("ssn", "card", "phone"):
+        digits = re.sub("[^0-9]", "", rest)
+        if kind == "card":
+            new = plain_substituted(digits[:-1], key, kind, False)
+            new += str((plain_check(new) + int(digits[-1]) - plain_check(digits[:-1])) % 10)
+        else:
+            new = plain_substituted(digits, key, kind, False)
+        each = iter(new)
+        return head + "".join(next(each) if c in "0123456789" else c for c in rest)
+    return head + plain_substituted(rest, key, kind, kind == "token" and not head) + tail
+
+
+def plain_text(text, key):
+    kept = [t + dot for t in pii.TITLES for dot in ("", ".")] + pii.PARTICLES
+    words = [w for m in regex.finditer(pii.PERSON, text) for w in m[0].split(" ")]
+    words = list(dict.fromkeys(w for w in words if w not in kept and not regex.fullmatch(r"(?:\p{Lu}\.-?)+|\p{Lu}", w)))
+    found = "(?<![\\p{L}\\p{N}])(?:" + "|".join(pii.KINDS.values())
+    if words:
+        sentence = r"(?<=^|[.!?…:\n]|[.!?…:][ \n\"'“„»)]{1,3})(?:%s)(?= \p{Ll})" % "|".join(pii.COMMON)
+        found += rf"|(?!{sentence})(?<![\p{{L}}\p{{N}}])(?:" + "|".join(map(regex.escape, words)) + r")(?![\p{L}\p{N}])"
+    kind = lambda v: next((k for k, p in pii.KINDS.items() if regex.fullmatch(p, v)), "person")
+    return regex.sub(found + ")", lambda m: plain_surrogate(m[0], kind(m[0]), key), text)
+
+
+def private_text(rng):
+    letters = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    alphabet = rng.choice(["abcxyz", "øæþß", "דוגמ", "مثال", "иван", "αβγ", "ĀāŐő", "ไทย", "田中", "한국", "ひら"])
+    name = lambda: rng.choice(["Smith", "Will", "Mark", "Иванов", "Rossi", "Zhang", "Ødegård", "O'Neil"])
+    parts = [
+        lambda: f"{letters(alphabet, 5)}@{letters(alphabet, 3)}{rng.randrange(9)}.{letters('abc', 3)}", lambda: ".".join(str(rng.randrange(300)) for _ in range(4)), lambda: f"+{rng.randrange(1, 99)} ({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)}",
+        lambda: letters("0123456789", 16), lambda: letters("0123456789abcdef", 40), lambda: "sk-" + letters("abcXYZ019", 20), lambda: f"{rng.randrange(100, 999)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}",
+        lambda: f"{rng.choice(pii.TITLES)} {name()} {name()}", lambda: f"{rng.choice(pii.MALE_NAMES)} {rng.choice(['', 'F. ', 'van der '])}{name()}", lambda: rng.choice(pii.FEMALE_NAMES), name, lambda: rng.choice(["Will you", "left", "met", ". Mark my words", "said:", "\n"]),
+    ]
+    return "".join(rng.choice(parts)() + rng.choice([" ", ". ", ", ", "! "]) for _ in range(rng.randrange(1, 12)))
+
+
+def test_surrogates_equal_the_plain_ones(spark):
+    rng = random.Random(21)
+    texts = [private_text(rng) for _ in range(250)]
+    got = dict(rows(pii.surrogate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k"), "doc_id", "text"))
+    for i, t in enumerate(texts):
+        assert got[i] == plain_text(t, "k"), t
+
+
+def test_names_are_replaced_at_every_mention(spark):
+    texts = ["James Miller called. Later James left with Mr. Will Smith. Will you come? We saw Will.", "write to øæþ@øøø.dk or محمد@مثال.com and דוד@example.com", "Fatima Rossi met Wei Zhang. Rossi and Zhang left."]
+    got = dict(rows(pii.surrogate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key"), "doc_id", "text"))
+    assert not re.search("James|Miller|Smith|saw Will", got[0]) and "Will you come" in got[0]
+    assert not re.search("øæþ|øøø|محمد|مثال|דוד|example", got[1])
+    assert not re.search("Fatima|Rossi|Wei|Zhang", got[2])
+
+
 def test_surrogates_are_distinct(spark):
     rng = random.Random(9)
     values = sorted({".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(300)} | {f"u{i}@x{i % 7}.example.com" for i in range(300)} | {f"+1 ({rng.randrange(1000):03}) 555-{i:04}" for i in range(200)} | {f"4{i:015}" for i in range(200)})
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, text string")
-    assert pii.collisions(df, "k").count() == 0
-    new = [t for (t,) in rows(pii.surrogate(df, "k", check=False), "text")]
+    new = [t for (t,) in rows(pii.surrogate(df, "k"), "text")]
     assert len(set(new)) == len(values) and not set(new) & set(values)
 
 
+def test_collisions_are_resolved(spark, monkeypatch):
+    whole = pii.surrogate_of
+    monkeypatch.setattr(pii, "surrogate_of", lambda value, kind, key: whole(value, kind, key) if "\x1f" in key else F.lit("same@x.com"))
+    df = spark.createDataFrame([(i, f"a{i % 6}@b.com x") for i in range(12)], "doc_id long, text string")
+    got = dict(rows(pii.surrogate(df, "k"), "doc_id", "text"))
+    assert len(set(got.values())) == 6 and all(got[i] == got[i + 6] for i in range(6))
+    assert pii.collisions(spark.createDataFrame([("email", "A@b.c", "x@y.z"), ("email", "a@b.c", "X@y.z"), ("ip", "1.1.1.1", "x@y.z")], "kind string, value string, surrogate string")).count() == 0
+
+
+def test_surrogates_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, "mail a@b.com " * 20000, "x", 1)], "doc_id long, text string, _found string, n_entities int")
+    assert pii.surrogate(df.limit(0).drop("_found"), "k").columns == ["doc_id", "text", "n_entities", "kinds"]
+    r = pii.surrogate(df.drop("_found"), "k").first()
+    assert r.n_entities == 20000 and "a@b.com" not in r.text and len(r.text) == len("mail a@b.com ") * 20000
+    with pytest.raises(ValueError):
+        pii.surrogate(df, "")
+
+
 # --- 4
 
 
@@ -365,11 +496,71 @@ def test_rare_languages_are_fitted(spark):
     assert got[800].language == "fr" and got[800].accepted and all(got[i].language == l for i, _, l in data)
 
 
+def plain_identify(rows_, model):
+    """The fusion of langid, row by row. rows_: text, declared, host, suffix."""
+    n, table = len(model.languages) + 1, model.table
+    def cells(t):
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode()
+        d = re.sub(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]+", b" ", low)
+        return [(((a << 16 | b << 8 | c) * 2654435761) & 0xFFFFFFFF) >> 16 for a, b, c in zip(d, d[1:], d[2:]) if not (a == b == 32)]
+    logs = [[sum(table[c, k] for c in cells(t)) / 3 for k in range(n)] for t, *_ in rows_]
+    soft = lambda x: [math.exp(v - max(x)) / sum(math.exp(w - max(x)) for w in x) for v in x]
+    share = [soft(x) for x in logs]
+    top = [(sum(s[k] for s in share) + 1 / n) / (len(rows_) + 1) for k in range(n)]
+    kinds = len({r[1] for r in rows_ if r[1] is not None})
+    said_sums = [sum(s[k] for s, r in zip(share, rows_) if r[1] is not None) for k in range(n)]
+    out = []
+    for i, (t, declared, host, suffix) in enumerate(rows_):
+        def less(column, value, parent):
+            if value is None:
+                return parent
+            others = [s for j, s in enumerate(share) if j != i and rows_[j][column] == value]
+            return [(sum(s[k] for s in others) + 10 * parent[k]) / (len(others) + 10) for k in range(n)]
+        prior = less(2, host, less(3, suffix, top))
+        spoken = [0.0] * n if declared is None else [math.log((sum(s[k] for j, s in enumerate(share) if j != i and rows_[j][1] == declared) + 1) / (said_sums[k] + max(kinds, 1))) for k in range(n)]
+        last = soft([a + math.log(p) + q for a, p, q in zip(logs[i], prior, spoken)])
+        best = max(range(n), key=lambda k: last[k])
+        language = "und" if not any(logs[i]) else [*model.languages, "und"][best]
+        out.append((language, last[best], language != "und" and last[best] >= 0.5))
+    return out
+
+
+def test_fusion_equals_the_plain_one(spark):
+    rng = random.Random(17)
+    vocab = {"en": "the and of water house morning people".split(), "de": "der und nicht wasser haus schön leute".split(), "fr": "le et pas maison être gens où".split()}
+    train = [(i, " ".join(rng.choice(vocab[l]) for _ in range(20)), l) for i, l in enumerate(["en", "de", "fr"] * 20)]
+    model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    said = [(" ".join(rng.choice(vocab[rng.choice(list(vocab))]) for _ in range(rng.randrange(0, 4))), rng.choice([None, "en", "de", "xx"]), rng.choice([None, "a.de", "b.fr", "c.com"]), rng.choice([None, "de", "com"])) for _ in range(80)]
+    said += [(None, "en", None, None), ("", None, "a.de", "de"), ("12 !!", "de", "a.de", "de"), ("und " * 20_000, None, None, None)]
+    df = spark.createDataFrame([(i, *r, "old") for i, r in enumerate(said)], "id long, text string, declared string, host string, suffix string, language string")
+    got = {r.id: r for r in langid.identify(df, model).collect()}
+    for i, (language, posterior, accepted) in enumerate(plain_identify(said, model)):
+        assert (got[i].language, got[i].accepted) == (language, accepted) and got[i].posterior == pytest.approx(posterior, rel=1e-6), said[i]
+
+
 def test_short_texts_lean_on_declaration_and_host(spark):
-    model = langid.TextModel(["aa", "bb"], np.log(np.full((1 << 16, 3), 1 / (1 << 16))))
-    data = [(i, "some text", "aa" if i < 30 else "bb", "h1" if i < 30 else "h2", None) for i in range(60)]
-    df = spark.createDataFrame(data, "doc_id long, text string, declared string, host string, suffix string")
-    assert langid.identify(df, model).select("language").distinct().count() == 1
+    table = np.full((1 << 16, 3), math.log(1 / (1 << 16)))
+    cell, _ = langid._trigrams(np.frombuffer(b"aaaa", np.uint8), np.array([0, 4]))
+    other, _ = langid._trigrams(np.frombuffer(b"bbbb", np.uint8), np.array([0, 4]))
+    table[cell, 0] += 9
+    table[other, 1] += 9
+    model = langid.TextModel(["aa", "bb"], table)
+    sure = [("aaaa aaaa", "x", "h1", None)] * 30 + [("bbbb bbbb", "y", "h2", None)] * 30
+    unsure = [("aaaa bbbb", None, "h1", None), ("aaaa bbbb", None, "h2", None), ("aaaa bbbb", "x", None, None), ("aaaa bbbb", "y", None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(sure + unsure)], "id long, text string, declared string, host string, suffix string")
+    got = {r.id: r.language for r in langid.identify(df, model).collect()}
+    assert [got[60 + i] for i in range(4)] == ["aa", "bb", "aa", "bb"]
+
+
+def test_languages_of_unseen_rows(spark):
+    rng = random.Random(18)
+    vocab = {"en": "the and of water house morning people".split(), "de": "der und nicht wasser haus schön leute".split(), "fr": "le et pas maison être gens où".split()}
+    data = [(i, " ".join(rng.choice(vocab[l]) for _ in range(12)), l) for i, l in enumerate(["en", "de", "fr"] * 60)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.fit(df.where("doc_id % 3 <> 0 or doc_id < 90"))
+    none = F.lit(None).cast("string")
+    rest = df.where("doc_id % 3 = 0 and doc_id >= 90").unionByName(df.where("doc_id >= 150")).select("doc_id", "text", "lang", none.alias("declared"), none.alias("host"), none.alias("suffix"))
+    assert langid.identify(rest, model).where("language <> lang or not accepted").count() == 0
 
 
 def test_addresses(spark):
@@ -391,7 +582,7 @@ def test_warc(spark, chunk):
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, digest int").repartition(2)
     stash = Stash(spark, "t")
     warc.write(df, stash.path("w"), stash.keep(warc.repeated(df), "known"), chunk=chunk)
-    got = rows(warc.verified(warc.read(spark, stash.path("w"))), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    got = rows(warc.verified(warc.read(spark, stash.path("w")), stash), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     first = {}
     for i, _, t in pages:
         if i is not None:
@@ -405,16 +596,33 @@ def test_warc(spark, chunk):
 
 
 def test_warc_files_split_anywhere(spark):
-    df = spark.createDataFrame([(i, f"u{i}", f"{i} \r\n\r\nWARC/1.1\r\n " * (i % 5)) for i in range(200)], "page_id long, url string, html string").coalesce(1)
+    df = spark.createDataFrame([(i, f"u{i}", f"{i} \r\n\r\nWARC/1.1\r\n " * (i % 5)) for i in range(60)], "page_id long, url string, html string").coalesce(1)
     stash = Stash(spark, "t")
     warc.write(df, stash.path("w"), stash.keep(warc.repeated(df), "known"))
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    for size in ("997", "4096"):
+    for size in ("1997", "4096"):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-        assert warc.verified(warc.read(spark, stash.path("w"))).select("page_id").distinct().count() == 200
+        assert warc.verified(warc.read(spark, stash.path("w")), Stash(spark, "v")).select("page_id").distinct().count() == 60
     spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_warc_streams_a_payload_and_checks_revisits(spark):
+    big = "".join(f"line {i}\r\n\r\nWARC/1.1\r\n" for i in range(200)) + "long " * 800_000
+    df = spark.createDataFrame([(1, "u", big), (2, "v", big), (3, "w", None)], "page_id long, url string, html string")
+    stash = Stash(spark, "t")
+    warc.write(df, stash.path("w"), stash.keep(warc.repeated(df), "known"))
+    chunks = stash.keep(warc.read(spark, stash.path("w")), "read")
+    assert chunks.agg(F.max(F.octet_length("payload"))).first()[0] <= warc.CHUNK
+    got = {r.page_id: r for r in warc.verified(chunks, Stash(spark, "v")).collect()}
+    assert (got[1].payload_bytes, got[1].payload_digest, got[2].refers_to) == (len(big), hashlib.sha256(big.encode()).hexdigest(), 1)
+    assert "WARC-Date: 20" in spark.read.text(stash.path("w"), wholetext=True).first()[0]
+    with pytest.raises(ValueError):
+        warc.verified(chunks.where("page_id > 1"), Stash(spark, "v"))
+    empty = df.limit(0)
+    warc.write(empty, stash.path("none"), warc.repeated(empty))
+    assert warc.verified(warc.read(spark, stash.path("none")), Stash(spark, "v")).count() == 0
+
+
 # --- 8
 
 
@@ -451,6 +659,37 @@ def test_conditions_are_numbered_in_any_way(marks):
     assert [name for name, _ in licenses.scan_block(block)] == ["BSD-3-Clause"]
 
 
+def least_differences(template, block):
+    """The fewest words missing from a template or standing between, over all stretches of a block."""
+    low = [w.lower() for w in block]
+    row = [0] * (len(low) + 1)
+    for w in (x.lower() for x in template):
+        new = [row[0] + 1]
+        for j, b in enumerate(low, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (0 if w == b else 2)))
+        row = new
+    return min(row)
+
+
+def test_scans_equal_the_plain_ones(spark):
+    """Against all templates compared with all of a text, without candidates or ranking."""
+    rng, docs = random.Random(19), []
+    long = [(n, t) for n, t in licenses.TEMPLATES if len(licenses.words(t)) >= 12]
+    for k in range(9):
+        name, text = rng.choice(long)
+        said = licenses.words(text)
+        changed = rng.sample([i for i, w in enumerate(said) if w.islower()], rng.choice([0, 0, 1, len(said) // 4]))
+        docs.append((k, f"{words_of(rng, 20)}\n" + textwrap.fill(" ".join("zebra" if i in changed else w for i, w in enumerate(said)), 60) + f"\n{words_of(rng, 20)}", 1))
+    docs += [(100, words_of(rng, 300), 1), (101, None, 1), (102, "Released under the MIT License. " * 4000, 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_blocks int")
+    got = {r.doc_id: set(r.licenses) for r in licenses.scan(df).collect()}
+    for k, text, _ in docs[:10]:
+        block = licenses.words(text)
+        near = {n for n, t in licenses.TEMPLATES if least_differences(licenses.words(t), block) <= licenses.SLACK * len(licenses.words(t))}
+        assert got[k] <= near and bool(got[k]) == bool(near), (k, got[k], near)
+    assert got[101] == set() and got[102] == {"MIT"} and licenses.scan(df.limit(0)).count() == 0
+
+
 def test_blocks_reach_over_lines_and_apart():
     far = " word" * (2 * licenses.reach() + 1)
     assert len(licenses.blocks(f"All rights\n# reserved.{far}\nPublic\n// domain")) == 2
@@ -474,8 +713,8 @@ def plain_components(docs):
     return {i: (len(sets[i]), find(parent, i)) for i in parent}
 
 
-@pytest.mark.parametrize("few,block,hot", [(24, 256, 4096), (2, 4, 4096), (2, 4, 3)])
-def test_ngram_join(spark, few, block, hot):
+@pytest.mark.parametrize("few,block,hot,bucket_size,fanout", [(24, 256, 4096, 1 << 21, 1024), (2, 4, 4096, 50, 1 << 20), (2, 4, 3, 100, 4)])
+def test_ngram_join(spark, few, block, hot, bucket_size, fanout):
     rng, docs = random.Random(8), []
     for _ in range(14):
         base = words_of(rng, rng.randrange(3, 60), WORDS + [f"w{k}" for k in range(40)]).split()
@@ -486,7 +725,7 @@ def test_ngram_join(spark, few, block, hot):
             docs.append((len(docs), " ".join(copy)))
     docs += [(len(docs) + k, t) for k, t in enumerate([None, "", " \n ", "one two", "ONE\ttwo", docs[0][1].upper()])]
     df = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, n int")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.components_of(df, few=few, block=block, hot=hot, cells=1 << 14).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.components_of(df, few=few, block=block, hot=hot, cells=1 << 14, bucket_size=bucket_size, fanout=fanout).collect()}
     assert got == plain_components(docs)
 
 
@@ -527,8 +766,7 @@ def test_token_counts(spark):
     got = {r.doc_id: (r.n_tokens, r.n_words) for r in piececounts.token_counts(df, pieces).collect()}
     for i, t in enumerate(texts):
         own = (t or "").split()
-        parts = [x for w in own for x in piececounts.split_long(piececounts.BEGIN + w.encode())]
-        assert got[i] == (sum(plain(x) for x in parts), len(own)), t
+        assert got[i] == (sum(plain("▁".encode() + w.encode()) for w in own), len(own)), t
     assert piececounts.token_counts(df.limit(0), pieces).count() == 0
 
 
