@@ -5,7 +5,8 @@ reread as the next one's docs. All but the last return the columns of documents.
 
 Defined results: a document that is null, empty or without letters is rejected as of no language;
 of linked documents the one with the smallest doc_id stays, of repeated rows one; a document with a
-null doc_id is linked only to equal texts that have one. Extra columns are carried along.
+null doc_id is linked only to equal texts that have one. Texts of any length go through whole. Extra
+columns are carried along to the last stage. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glotspark.llm import bpe, decontaminate, langid, ngramjoin, pii
-from glotspark.llm.queries import PII_KEY
+from glotspark.llm.queries import surrogate_key
 from glotspark.llm.store import Stash, table
 
 
@@ -25,7 +26,8 @@ def _key(docs: DataFrame) -> list:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not told (random signs, no letters) go. The rejected are few and leave by an anti-join."""
-    rows = docs.select(*_key(docs), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.lit(None).cast("string").alias("suffix"))
+    none = F.lit(None).cast("string")  # lang is what the text model is fitted on
+    rows = docs.select(*_key(docs), "text", none.alias("declared"), F.col("source").alias("host"), none.alias("suffix"))
     found = langid.identify(rows, langid.fit(docs))
     rejected = Stash(spark, "pipeline").keep(found.where("not accepted").select("_k1", "_k2").distinct(), "rejected")
     return docs.withColumns({"_k1": _key(docs)[0], "_k2": _key(docs)[1]}).join(rejected, ["_k1", "_k2"], "left_anti").select(docs.columns)
@@ -50,7 +52,7 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced; n_chars follows the text."""
-    done = pii.surrogate(docs, PII_KEY)
+    done = pii.surrogate(docs, surrogate_key(spark))
     return done.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
