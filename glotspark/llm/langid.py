@@ -13,12 +13,14 @@ A row whose best class is ``und``, or whose best posterior is under ``least``, i
 
 Defined results: a null or empty text, or one without a trigram of letters, is ``und`` and rejected; a null
 declared language or host is no evidence (a host of null falls back to the suffix, then to all
-rows); rows are scored one by one, so repeated rows get the same result but count in the priors.
+rows); rows are scored one by one, so repeated rows get the same result but count in the priors; texts
+of any length are scored whole; of equal posteriors the first language by name is taken; an empty table
+gives an empty one; columns of other names are kept, those named like the outputs are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,6 +127,20 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     return TextModel(languages, np.log(table))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: lambdas would compute it anew for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _posterior(logs: Column) -> Column:
+    """exp of an array of logarithms, normalised."""
+
+    def scaled(x: Column) -> Column:
+        return _let(F.array_max(x), lambda top: _let(F.transform(x, lambda y: F.exp(y - top)), lambda e: _let(F.aggregate(e, F.lit(0.0), lambda a, y: a + y), lambda total: F.transform(e, lambda y: y / total))))
+
+    return _let(logs, scaled)
+
+
 def address_host(url: Column) -> Column:
     """The host of an address in lower case, without user, port and a final dot."""
     return F.nullif(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+?)\.?(?:[:/?#]|$)", 1), F.lit(""))
@@ -157,15 +173,17 @@ def identify(rows: DataFrame, model: TextModel, text: str = "text", declared: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make(part: pa.RecordBatch) -> dict[str, pa.Array]:
             logs = bound.value.log_likelihoods(part.column(text))
-            return {"_logs": pa.array(list(logs), pa.list_(pa.float64())), text: pa.nulls(len(part), pa.string())}
+            share = np.exp(logs - logs.max(1, keepdims=True))
+            share /= share.sum(1, keepdims=True)
+            lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), n).cast(pa.list_(pa.float64()))
+            return {"_logs": lists(logs), "_share": lists(share), "_empty": pa.array(~logs.any(1))}
 
-        yield from add_columns(batches, text, make)
+        yield from add_columns(batches, text, make, without=(text,))
 
-    fields = [f for f in rows.schema.fields if f.name not in (text, "_logs")]
-    logs = rows.transform(map_arrow, run, T.StructType([*fields, T.StructField("_logs", T.ArrayType(T.DoubleType())), T.StructField(text, T.StringType())])).drop(text)
-    shares = F.transform("_logs", lambda x: F.exp(x - F.array_max("_logs")))
-    logs = logs.withColumn("_empty", F.forall("_logs", lambda x: x == 0.0))
-    base = stash.keep(logs.withColumn("_share", F.transform(shares, lambda x: x / F.aggregate(shares, F.lit(0.0), lambda a, y: a + y))), "logs")
+    new = {"_logs": T.ArrayType(T.DoubleType()), "_share": T.ArrayType(T.DoubleType()), "_empty": T.BooleanType()}
+    fields = [f for f in rows.schema.fields if f.name != text and f.name not in new]
+    logs = rows.select(text, *[f.name for f in fields]).transform(map_arrow, run, T.StructType([*fields, *[T.StructField(k, v) for k, v in new.items()]]))
+    base = stash.keep(logs, "logs")
 
     def sums(by: list[str]) -> DataFrame:
         return base.groupBy(*by).agg(F.array(*[F.sum(F.col("_share")[k]) for k in range(n)]).alias("sums"), F.count("*").alias("n"))
@@ -187,19 +205,22 @@ def identify(rows: DataFrame, model: TextModel, text: str = "text", declared: st
     told = stash.keep(told.select(F.concat(F.lit("="), "_said").alias("_said"), "_said_sums"), "said")
     full = full.join(told, F.concat(F.lit("="), F.col(declared)) == F.col("_said"), "left")
 
-    tops = F.array(*[F.lit(float(x)) for x in top])
-    less = lambda s, c, parent: F.when(F.col(s).isNull(), parent).otherwise(
-        F.transform(F.arrays_zip(F.col(s).alias("s"), F.col("_share").alias("o"), parent.alias("p")), lambda x: (F.greatest(x["s"] - x["o"], F.lit(0.0)) + SMOOTH * x["p"]) / (F.col(c) - 1 + SMOOTH))
-    )
-    full = full.withColumn("_prior", less("_ssuffix", "_nsuffix", tops)).withColumn("_prior", less("_shost", "_nhost", F.col("_prior")))
-    spoken = F.when(F.col("_said_sums").isNull(), F.array(*[F.lit(0.0)] * n)).otherwise(
-        F.transform(F.arrays_zip(F.col("_said_sums").alias("s"), F.col("_share").alias("o"), F.array(*[F.lit(float(x)) for x in said_sums]).alias("t")), lambda x: F.log((F.greatest(x["s"] - x["o"], F.lit(0.0)) + 1.0) / (x["t"] + float(max(kinds, 1)))))
-    )
-    full = full.withColumn("_logs", F.zip_with("_logs", F.zip_with("_prior", spoken, lambda p, q: F.log(p) + q), lambda a, b: a + b))
-    full = full.withColumn("_share", shares).withColumn("_share", F.transform("_share", lambda x: x / F.aggregate("_share", F.lit(0.0), lambda a, y: a + y)))
-    best = F.array_position("_share", F.array_max("_share")).cast("int")
+    own = F.col("_share")
+
+    def less(sums: str, count: str, parent: Column) -> Column:
+        """A place's shares without the row's own, smoothed towards its parent's."""
+        others = F.zip_with(sums, own, lambda s, o: F.greatest(s - o, F.lit(0.0)))
+        return F.when(F.col(sums).isNull(), parent).otherwise(F.zip_with(others, parent, lambda s, p: (s + SMOOTH * p) / (F.col(count) - 1 + SMOOTH)))
+
+    totals = F.array(*[F.lit(float(x) + max(kinds, 1)) for x in said_sums])
+    others = F.zip_with("_said_sums", own, lambda s, o: F.greatest(s - o, F.lit(0.0)) + 1.0)
+    spoken = F.when(F.col("_said_sums").isNull(), F.array(*[F.lit(0.0)] * n)).otherwise(F.zip_with(others, totals, lambda s, t: F.log(s / t)))
+    prior = less("_shost", "_nhost", less("_ssuffix", "_nsuffix", F.array(*[F.lit(float(x)) for x in top])))
+    evidence = F.zip_with(F.zip_with("_logs", prior, lambda a, p: a + F.log(p)), spoken, lambda a, q: a + q)
+    full = full.withColumn("_best", _let(_posterior(evidence), lambda p: F.struct(F.array_position(p, F.array_max(p)).cast("int").alias("at"), F.array_max(p).alias("share"))))
+    best = F.col("_best.at")
     language = F.when(F.col("_empty"), F.lit(UNKNOWN)).otherwise(F.element_at(F.array(*[F.lit(x) for x in names]), best))
     kept = [c for c in rows.columns if c not in (text, "language", "posterior", "accepted")]
     return full.select(
-        *[full[c] for c in kept], language.alias("language"), F.array_max("_share").alias("posterior"), ((language != UNKNOWN) & (F.array_max("_share") >= least)).alias("accepted")
+        *[full[c] for c in kept], language.alias("language"), F.col("_best.share").alias("posterior"), ((language != UNKNOWN) & (F.col("_best.share") >= least)).alias("accepted")
     )
