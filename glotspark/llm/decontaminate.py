@@ -6,12 +6,15 @@ none, is one window. Document token windows are hashed in numpy and looked up in
 set; every hit is verified word by word before it counts. ``scan`` reports the hits of each
 document, ``decontaminate`` removes the hit documents or only the hit spans.
 
-The set is broadcast in parts of at most ``max_bytes`` of item text. One part is the rule; more
-text makes more passes over the documents, with what was found so far kept between them.
+The set holds each item's normalised text once, and of a window its hash, its item and its place in
+that text, 28 bytes: arrays, built without a step for each window. It is broadcast in parts of at
+most ``max_bytes`` of item text, so a part takes about 8 times that. One part is the rule; more text
+makes more passes over the documents, with what was found so far kept between them.
 
 Defined results: null or empty texts have no words and no hits; items without words hit nothing;
-rows with one item_id are one item; a null item_id is the item "". Columns of other names are
-kept, those named like the outputs are replaced.
+rows with one item_id are one item; a null item_id is the item ""; a window of several items counts
+for each; texts of any length are taken whole; an empty table gives an empty one. ``scan`` keeps columns
+of other names and replaces those named like its outputs; ``decontaminate`` keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from glotspark.llm.store import Stash
 N = 10
 
 #: Bytes of item text whose windows are broadcast at once.
-MAX_BYTES = 64 << 20
+MAX_BYTES = 16 << 20
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 OUTPUTS = {"n_words": T.LongType(), "n_hit": T.LongType(), "items": T.ArrayType(T.StringType()), "hit_spans": T.ArrayType(SPAN), "hit_words": T.BinaryType()}
@@ -41,41 +44,64 @@ OUTPUTS = {"n_words": T.LongType(), "n_hit": T.LongType(), "items": T.ArrayType(
 
 @dataclass
 class Windows:
-    """The windows of one length: sorted hashes, a bitmap over their low bits, words and items."""
+    """The windows of one length, sorted by hash, and a bitmap over the hashes' low bits."""
 
     length: int
     hashes: np.ndarray
     bitmap: np.ndarray
-    words: list[bytes]
-    items: list[tuple[str, ...]]
+    item: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
 
 
 @dataclass
 class TestSet:
+    """names: of the items; words: their words, each with a space behind, one text after the other."""
+
+    names: list[str] = field(default_factory=list)
+    words: bytes = b""
     windows: list[Windows] = field(default_factory=list)
 
 
+def _joined(p: bw.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The piece's words with a space behind each, and where each begins and ends there."""
+    size = p.end - p.start
+    end = np.cumsum(size + 1) - 1
+    inside = np.zeros(len(p.data) + 1, np.int8)
+    np.add.at(inside, p.start, 1)
+    np.add.at(inside, p.end, -1)
+    out = np.full(int(end[-1]) + 1 if len(end) else 0, 32, np.uint8)
+    letters = np.ones(len(out), bool)
+    letters[end] = False
+    out[letters] = p.data[np.cumsum(inside[:-1]).astype(bool)]
+    return out, end - size, end
+
+
 def build(item_ids: list, texts: pa.Array, n: int = N) -> TestSet:
     """The windows of some items. Two windows that share a hash are kept apart by their words."""
-    found: dict[int, dict[tuple[int, bytes], set[str]]] = {}
+    found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    said, base = [], 0
     for p in bw.pieces(bw.arrow_texts(texts), bw.ALNUM):
-        h, raw = p.hashes(), p.data.tobytes()
-        for i in range(len(p)):
-            a, b = int(p.word_at[i]), int(p.word_at[i + 1])
-            name = item_ids[p.first + i]
-            length = min(n, b - a)
-            for k in range(a, b - length + 1) if length else ():
-                words = b" ".join(raw[p.start[j] : p.end[j]] for j in range(k, k + length))
-                key = int(bw.whole(h[k : k + length])), words
-                found.setdefault(length, {}).setdefault(key, set()).add("" if name is None else str(name))
-    out = TestSet()
-    for length, by in sorted(found.items()):
-        keys = sorted(by)
-        hashes = np.array([k[0] for k in keys], np.uint64)
-        bits = max(10, int(np.ceil(np.log2(len(keys)))) + 5)
+        h, (words, start, end) = p.hashes(), _joined(p)
+        count = np.diff(p.word_at)
+        for length in sorted({min(n, int(c)) for c in np.unique(count)} - {0}):
+            hashes, at = bw.windows(h, p.word_at, length)
+            owner = np.searchsorted(p.word_at, at, "right") - 1
+            if length < n:
+                own = count[owner] == length
+                hashes, at, owner = hashes[own], at[own], owner[own]
+            found.setdefault(length, []).append((hashes, (owner + p.first).astype(np.int32), base + start[at], base + end[at + length - 1]))
+        said.append(words.tobytes())
+        base += len(words)
+    out = TestSet(["" if x is None else str(x) for x in item_ids], b"".join(said))
+    for length, parts in sorted(found.items()):
+        hashes, item, start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        bits = max(10, int(np.ceil(np.log2(len(hashes) + 1))) + 5)
         bitmap = np.zeros(1 << bits, bool)
         bitmap[(hashes & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
-        out.windows.append(Windows(length, hashes, bitmap, [k[1] for k in keys], [tuple(sorted(by[k])) for k in keys]))
+        out.windows.append(Windows(length, hashes, bitmap, item[order], start[order], end[order]))
     return out
 
 
@@ -88,18 +114,16 @@ def hits(p: bw.Piece, tests: TestSet) -> tuple[np.ndarray, dict[int, set[str]]]:
     for w in tests.windows:
         hashes, at = bw.windows(h, p.word_at, w.length)
         near = np.flatnonzero(w.bitmap[(hashes & np.uint64(len(w.bitmap) - 1)).astype(np.int64)])
-        place = np.searchsorted(w.hashes, hashes[near])
-        place[place == len(w.hashes)] = 0
-        same = w.hashes[place] == hashes[near]
-        for k, at_word in zip(place[same].tolist(), at[near[same]].tolist(), strict=True):
+        first, last = np.searchsorted(w.hashes, hashes[near]), np.searchsorted(w.hashes, hashes[near], "right")
+        same = first < last
+        for a, b, at_word in zip(first[same].tolist(), last[same].tolist(), at[near[same]].tolist(), strict=True):
             raw = p.data.tobytes() if raw is None else raw
             words = b" ".join(raw[p.start[j] : p.end[j]] for j in range(at_word, at_word + w.length))
-            while k < len(w.hashes) and w.words[k] != words and w.hashes[k] == w.hashes[min(k + 1, len(w.hashes) - 1)]:
-                k += 1
-            if w.words[k] == words:
+            own = {tests.names[w.item[k]] for k in range(a, b) if tests.words[w.start[k] : w.end[k]] == words}
+            if own:
                 depth[at_word] += 1
                 depth[at_word + w.length] -= 1
-                items.setdefault(int(np.searchsorted(p.word_at, at_word, "right")) - 1, set()).update(w.items[k])
+                items.setdefault(int(np.searchsorted(p.word_at, at_word, "right")) - 1, set()).update(own)
     return np.cumsum(depth[:-1]) > 0, items
 
 
@@ -164,9 +188,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document", text: str = "text", **how) -> DataFrame:
     """docs without the hit documents, or (mode "span") with the hit spans cut out of the texts."""
-    found = scan(docs, benchmark, text=text, **how)
+    own = {c: f"_own_{c}" for c in docs.columns if c in OUTPUTS}
+    back = [F.col(own[c]).alias(c) if c in own else F.col(c) for c in docs.columns]
+    found = scan(docs.withColumnsRenamed(own), benchmark, text=text, **how)
     if mode == "document":
-        return found.where("n_hit = 0").select(docs.columns)
+        return found.where("n_hit = 0").select(back)
     if mode != "span":
         raise ValueError("mode is 'document' or 'span'")
 
@@ -186,4 +212,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document",
         yield from add_columns(batches, text, make)
 
     fields = [f for f in found.schema.fields if f.name != text] + [T.StructField(text, T.StringType())]
-    return found.transform(map_arrow, run, T.StructType(fields)).select(docs.columns)
+    return found.transform(map_arrow, run, T.StructType(fields)).select(back)
