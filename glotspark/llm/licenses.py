@@ -8,11 +8,13 @@ template as a zstandard raw dictionary; the templates are ranked by the size tha
 order, are confirmed by the exact differences in wording: all of the template's words must stand in
 the block in their order, but for at most a share ``slack`` of them, and none of those may be a
 number, a version or a name in capitals. Words of the template that a winner has matched are
-taken out, and the rest of the block is looked at again, so that a block can hold several notices.
+taken out, with word-for-word repeats of them, and the rest of the block is looked at again, so that a
+block can hold several notices.
 
-Defined results: null and empty texts have no blocks; of several templates the one
-with most words matched, less its differences, is taken, then the longer, then the one that saves
-more, then the first in the list; columns of other names are kept, those named like the
+Defined results: null and empty texts have no blocks; texts of any length are scanned whole, part by
+part; of several templates the one with most words matched, less its differences, is taken, then the
+longer, then the one that saves more, then the first in the list; repeated rows and repeated notices are
+scanned alike; an empty table gives an empty one; columns of other names are kept, those named like the
 outputs are replaced.
 """
 
@@ -127,6 +129,22 @@ def differences(template: list[str], block: list[str]) -> tuple[list[str], list[
     return missing + [f"+{block[j]}" for j in between], places
 
 
+def _repeats(block: list[str], places: list[int]) -> set[int]:
+    """Where the words at some places, if they stand together, stand in the block again: the same notice, over and over."""
+    first, last = places[0], places[-1] + 1
+    if last - first != len(places):
+        return set()
+    low = [w.lower() for w in block]
+    said, out, at = low[first:last], set(), 0
+    while at <= len(low) - len(said):
+        if low[at] == said[0] and low[at : at + len(said)] == said:
+            out.update(range(at, at + len(said)))
+            at += len(said)
+        else:
+            at += 1
+    return out
+
+
 def _confirmed(block: list[str]) -> Iterator[tuple[str, list[str]]]:
     _, known = _compressors()
     left = list(block)
@@ -144,13 +162,20 @@ def _confirmed(block: list[str]) -> Iterator[tuple[str, list[str]]]:
         if best is None:
             return
         yield best[1], best[2]
-        gone = set(best[3])
+        gone = set(best[3]) | _repeats(left, best[3])
         left = [w for j, w in enumerate(left) if j not in gone]
 
 
-@lru_cache(maxsize=4096)
+#: Characters of a block whose result a worker keeps, with 4096 of them at most.
+KEPT_BLOCK = 1 << 12
+
+
 def scan_block(block: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
     """The notices confirmed in a block, with their differences in wording."""
+    return _scan_again(block) if len(block) <= KEPT_BLOCK else _scan_block(block)
+
+
+def _scan_block(block: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
     found, all_words, step = {}, words(block), PART_WORDS
     for at in range(0, max(1, len(all_words)), step):
         for name, lacks in _confirmed(all_words[at : at + step + reach()]):
@@ -159,6 +184,9 @@ def scan_block(block: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
     return tuple(sorted(found.items()))
 
 
+_scan_again = lru_cache(maxsize=4096)(_scan_block)
+
+
 def blocks(text: str) -> list[str]:
     """The candidate blocks of a text, as words with one space between."""
     low = text.lower()
