@@ -24,8 +24,9 @@ The unigram base is exact as well. Counts of the at most ``max_head`` most frequ
 broadcast; other words are joined with the table of counts. Words are known by 64-bit hashes.
 
 Defined results: a null text is the empty text, with one token, the end; a null doc_id counts as
-the empty text for the split; repeated rows count each time; without training texts every bit has
-probability 1/2 and the counts are 0.
+the empty text for the split; repeated rows count each time; texts of any length are scored whole;
+without training texts every bit has probability 1/2 and the counts are 0; an empty table gives an empty
+one; only id and text are read, so columns of other names do not matter.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ covers costs one token of the lowest score minus ten.
 
 No shuffle: each task has its own tries, of bounded size. Defined results: a null or empty text
 has no pre-tokens and no tokens; ties between cuts go to fewer tokens; repeated rows are counted
-each; columns of other names are kept, those named like the outputs are replaced.
+each; texts and pre-tokens of any length are counted whole; an empty table gives an empty one; columns of
+other names are kept, those named like the outputs are replaced.
 """
 
 from __future__ import annotations
@@ -196,22 +197,16 @@ def long_count(word: bytes, pieces: Pieces, stretch: int = STRETCH) -> int:
     return count[0]
 
 
-def split_long(word: bytes) -> list[bytes]:
-    """The parts of a pre-token that are counted apart: it is one part, however long."""
-    return [word]
-
-
 def piece_counts(p: bw.Piece, pieces: Pieces) -> np.ndarray:
     """The token count of each pre-token of a piece of texts; distinct ones are told by a 64-bit hash and the length."""
     length = (p.end - p.start).astype(np.uint64)
     _, first, inverse = np.unique(p.hashes() ^ bw.mix(length), return_index=True, return_inverse=True)
     raw = p.data.tobytes()
-    parts = [split_long(BEGIN + raw[a:b]) for a, b in zip(p.start[first].tolist(), p.end[first].tolist(), strict=True)]
-    distinct = {x for word in parts for x in word}
-    short = sorted(x for x in distinct if len(x) <= LONGEST)
+    words = [BEGIN + raw[a:b] for a, b in zip(p.start[first].tolist(), p.end[first].tolist(), strict=True)]
+    short = sorted({x for x in words if len(x) <= LONGEST})
     counts = dict(zip(short, forward_counts(short, pieces)[0].tolist(), strict=True))
-    counts |= {x: long_count(x, pieces) for x in distinct if len(x) > LONGEST}
-    return np.fromiter((sum(counts[x] for x in word) for word in parts), np.int64, len(parts))[inverse]
+    counts |= {x: long_count(x, pieces) for x in words if len(x) > LONGEST}
+    return np.fromiter((counts[x] for x in words), np.int64, len(words))[inverse]
 
 
 def token_counts(df: DataFrame, pieces: Pieces, text: str = "text", n_tokens: str = "n_tokens", n_words: str = "n_words") -> DataFrame:
