@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from glotspark.llm.bytewords import arrow_texts, raw
 
@@ -41,14 +42,16 @@ def _give_back() -> None:
 def map_arrow(df: DataFrame, run: Run, schema) -> DataFrame:
     """mapInArrow over batches of bounded size, by workers that give back memory when a task ends."""
     bound_batches(df.sparkSession)
+    names = df.columns
+    odd = any("." in c or "`" in c for c in names)  # mapInArrow does not find such columns
 
     def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run((b.rename_columns(names) for b in batches) if odd else batches)
         finally:
             _give_back()
 
-    return df.mapInArrow(freed, schema)
+    return (df.toDF(*[f"c{i}" for i in range(len(names))]) if odd else df).mapInArrow(freed, schema)
 
 
 def text_slices(batch: pa.RecordBatch, column: str, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -71,6 +74,16 @@ def add_columns(
             yield pa.RecordBatch.from_arrays([c for _, c in kept] + list(new.values()), names=[n for n, _ in kept] + list(new))
 
 
+def numbered(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Some columns of df under names that no operator uses, and those names: whatever a caller's columns are called, nothing clashes."""
+    names = {c: f"c{i}" for i, c in enumerate(columns)}
+    return df.select(*[quoted(c).alias(n) for c, n in names.items()]), names
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 class Runs:
     """Rows sorted by a key, cut into runs of equal keys across batch borders.
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glotspark.llm import bytewords as bw
-from glotspark.llm.batches import add_columns, map_arrow
+from glotspark.llm.batches import add_columns, map_arrow, numbered
 from glotspark.llm.store import Stash
 
 #: Rows of each label that the text model is fitted on (about; all of a label with no more).
@@ -167,6 +167,9 @@ def identify(rows: DataFrame, model: TextModel, text: str = "text", declared: st
     The text is read once; what follows handles a short array of numbers for each row.
     """
     spark, n = rows.sparkSession, len(model.languages) + 1
+    wanted = [c for c in rows.columns if c == text or c in (declared, host, suffix) or c not in ("language", "posterior", "accepted")]
+    rows, name_of = numbered(rows, wanted)
+    text, declared, host, suffix = (name_of[c] for c in (text, declared, host, suffix))
     stash, names = Stash(spark, "langid"), [*model.languages, UNKNOWN]
     bound = spark.sparkContext.broadcast(model)
 
@@ -220,7 +223,7 @@ def identify(rows: DataFrame, model: TextModel, text: str = "text", declared: st
     full = full.withColumn("_best", _let(_posterior(evidence), lambda p: F.struct(F.array_position(p, F.array_max(p)).cast("int").alias("at"), F.array_max(p).alias("share"))))
     best = F.col("_best.at")
     language = F.when(F.col("_empty"), F.lit(UNKNOWN)).otherwise(F.element_at(F.array(*[F.lit(x) for x in names]), best))
-    kept = [c for c in rows.columns if c not in (text, "language", "posterior", "accepted")]
+    kept = {c: m for c, m in name_of.items() if m != text and c not in ("language", "posterior", "accepted")}
     return full.select(
-        *[full[c] for c in kept], language.alias("language"), F.col("_best.share").alias("posterior"), ((language != UNKNOWN) & (F.col("_best.share") >= least)).alias("accepted")
+        *[full[m].alias(c) for c, m in kept.items()], language.alias("language"), F.col("_best.share").alias("posterior"), ((language != UNKNOWN) & (F.col("_best.share") >= least)).alias("accepted")
     )

@@ -42,6 +42,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glotspark.llm.batches import numbered
 from glotspark.llm.store import Stash
 
 # Forms of address and given names by gender.
@@ -325,10 +326,11 @@ def surrogate(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     if not key:
         raise ValueError("surrogates need a key")
     stash = Stash(docs.sparkSession, "pii")
-    kept = [c for c in docs.columns if c not in ("n_entities", "kinds")]
-    found = entities(docs.select(kept), key, text)
-    between = F.when(F.size("_found") > 0, F.split(F.col(text), F.col("_pattern"), -1)).otherwise(F.array(F.col(text)))
-    parts = stash.keep(found.select(*[between.alias("_between") if c == text else F.col(c) for c in kept], "_found"), "parts")
+    rows, name_of = numbered(docs, [c for c in docs.columns if c not in ("n_entities", "kinds")])
+    own = name_of[text]
+    found = entities(rows, key, own)
+    between = F.when(F.size("_found") > 0, F.split(F.col(own), F.col("_pattern"), -1)).otherwise(F.array(F.col(own)))
+    parts = stash.keep(found.select(*[between.alias("_between") if c == own else F.col(c) for c in rows.columns], "_found"), "parts")
     pairs = stash.keep(parts.select(F.explode("_found").alias("e")).select("e.kind", "e.value", "e.surrogate").distinct(), "pairs")
     again = replacements(pairs, key, stash)
     name = lambda kind, value: F.concat(kind, F.lit("\x1f"), value)
@@ -339,4 +341,4 @@ def surrogate(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     joined = F.array_join(F.zip_with("_between", "_found", lambda a, b: F.concat(a, F.coalesce(new(b), F.lit("")))), "")
     whole = F.when(F.size("_found") > 0, joined).otherwise(F.col("_between")[0])
     kinds = F.array_sort(F.array_distinct(F.transform("_found", lambda e: e["kind"])))
-    return parts.select(*[whole.alias(c) if c == text else F.col(c) for c in kept], F.size("_found").cast("long").alias("n_entities"), kinds.alias("kinds"))
+    return parts.select(*[(whole if c == text else F.col(n)).alias(c) for c, n in name_of.items()], F.size("_found").cast("long").alias("n_entities"), kinds.alias("kinds"))

@@ -334,9 +334,9 @@ def test_collisions_are_resolved(spark, monkeypatch):
 
 def test_surrogates_of_odd_tables(spark):
     df = spark.createDataFrame([(1, "mail a@b.com " * 20000, "x", 1)], "doc_id long, text string, _found string, n_entities int")
-    assert pii.surrogate(df.limit(0).drop("_found"), "k").columns == ["doc_id", "text", "n_entities", "kinds"]
-    r = pii.surrogate(df.drop("_found"), "k").first()
-    assert r.n_entities == 20000 and "a@b.com" not in r.text and len(r.text) == len("mail a@b.com ") * 20000
+    assert pii.surrogate(df.limit(0), "k").count() == 0
+    r = pii.surrogate(df, "k").first()
+    assert r["_found"] == "x" and r.n_entities == 20000 and "a@b.com" not in r.text and len(r.text) == len("mail a@b.com ") * 20000
     with pytest.raises(ValueError):
         pii.surrogate(df, "")
 
@@ -795,6 +795,40 @@ def test_long_pre_tokens_are_not_cut(spark):
     assert piececounts.long_count(b"abc", piececounts.pieces_of([])) == 3
 
 
+# --- odd tables
+
+INNER = ["_found", "_names", "_logs", "_share", "_best", "_links", "_component", "_h", "class", "signs", "k1", "n", "rep", "label", "x", "c0", "bucket", "ids", "a.b", "hit_spans2"]
+
+
+@pytest.mark.parametrize("name", ["pii", "langid", "neardup", "decontaminate", "bpe", "licenses", "piececounts"])
+def test_columns_of_any_name_keep_their_values(spark, name):
+    import public_tokenizers as P
+
+    extra = [c for c in INNER if not (name == "neardup" and c in ("label", "x") or name == "bpe" and c == "ids")]
+    text = "Mr. John Smith mailed a@b.com. Released under the MIT License."
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in extra)
+    df = spark.createDataFrame([(i, t, *[f"{c}{i}" for c in extra]) for i, t in enumerate([text, text, None, ""])], schema)
+    none = F.lit(None).cast("string")
+    run = {
+        "pii": lambda: pii.surrogate(df, "k"), "langid": lambda: langid.identify(df.withColumns({"declared": none, "host": none, "suffix": none}), langid.TextModel(["aa"], np.log(np.full((1 << 16, 2), 0.5)))),
+        "neardup": lambda: neardup.link_vectors(df.withColumns({"vec_id": F.col("doc_id"), "embedding": F.array(F.lit(1.0), F.lit(2.0)), "label": F.lit(1)})),
+        "decontaminate": lambda: decontaminate.scan(df, spark.createDataFrame([(1, "mit license")], "item_id long, text string")), "bpe": lambda: bpe.round_trip(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN),
+        "licenses": lambda: licenses.scan(df), "piececounts": lambda: piececounts.token_counts(df, piececounts.pieces_of([b"a"])),
+    }
+    got = run[name]().collect()
+    assert len(got) == 4 and all(r[c] == f"{c}{r.doc_id}" for r in got for c in extra)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(23)
+    long = words_of(rng, 120_000, [f"w{k}" for k in range(5000)])
+    df = spark.createDataFrame([(1, long), (2, long + " end"), (3, "short"), (3, "short")], "doc_id long, text string")
+    got = sorted(rows(ngramjoin.components_of(df), "doc_id", "n_shingles", "component_id"))
+    assert [(i, c) for i, _, c in got] == [(1, 1), (2, 1), (3, 3), (3, 3)] and got[1][1] - got[0][1] in (0, 1)
+    scored = {r.doc_id: r for r in ctw.score(df).collect()}
+    assert scored[1].n_tokens == 120_001 and scored[2].n_tokens == 120_002 and all(r.score < 0 for r in scored.values())
+
+
 # --- the pipeline
 
 
@@ -813,3 +847,21 @@ def test_pipeline(spark, tmp_path):
     ids = sorted(r.doc_id for r in out)
     assert 100 not in ids and 101 not in ids and 103 not in ids and 104 not in ids and ids.count(5) == 1
     assert set(range(40)) - {2} <= set(ids) and all(r.lossless for r in out)
+    spark.createDataFrame([], DOC).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_stages_keep_extra_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "no window of this item stands anywhere in any document here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rng, extra = random.Random(8), ["_k1", "kinds", "n_entities", "items", "component_id", "_found"]
+    said = [words_of(rng, 40) for _ in range(6)] + ["mail a@b.com of " + words_of(rng, 30)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), *[f"{c}{i}" for c in extra]) for i, t in enumerate(said)] + [(None,) * (5 + len(extra))], DOC + "".join(f", {c} string" for c in extra))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = Stash(spark, "t").keep(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == columns, name
+    got = docs.collect()
+    assert sorted(r.doc_id for r in got) == list(range(7)) and all(r[c] == f"{c}{r.doc_id}" for r in got for c in extra)
