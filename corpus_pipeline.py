@@ -21,16 +21,17 @@ from glotspark.llm.store import Stash, table
 
 def _key(docs: DataFrame) -> list:
     """Two hashes that tell rows apart, whatever their ids are."""
-    return [F.xxhash64("doc_id", "text").alias("_k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("_k2")]
+    return [F.xxhash64(docs.doc_id, docs.text), F.xxhash64(F.lit(1), docs.text, docs.doc_id)]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not told (random signs, no letters) go. The rejected are few and leave by an anti-join."""
     none = F.lit(None).cast("string")  # lang is what the text model is fitted on
-    rows = docs.select(*_key(docs), "text", none.alias("declared"), F.col("source").alias("host"), none.alias("suffix"))
+    rows = docs.select(*[k.alias(n) for k, n in zip(_key(docs), ("_k1", "_k2"), strict=True)], "text", none.alias("declared"), F.col("source").alias("host"), none.alias("suffix"))
     found = langid.identify(rows, langid.fit(docs))
     rejected = Stash(spark, "pipeline").keep(found.where("not accepted").select("_k1", "_k2").distinct(), "rejected")
-    return docs.withColumns({"_k1": _key(docs)[0], "_k2": _key(docs)[1]}).join(rejected, ["_k1", "_k2"], "left_anti").select(docs.columns)
+    first, second = _key(docs)
+    return docs.alias("d").join(rejected.alias("r"), (first == F.col("r._k1")) & (second == F.col("r._k2")), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +53,10 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced; n_chars follows the text."""
-    done = pii.surrogate(docs, surrogate_key(spark))
-    return done.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    clash = {c: f"_own_{c}" for c in docs.columns if c in ("n_entities", "kinds")}
+    done = pii.surrogate(docs.withColumnsRenamed(clash), surrogate_key(spark))
+    done = done.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return done.select([F.col(clash.get(c, c)).alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
