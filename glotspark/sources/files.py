@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,33 +91,54 @@ def ai_cache(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("cache_key", F.when(old, F.col("v")).otherwise(new["key"]).alias("key"), F.when(~old, F.timestamp_millis(new["timestamp"])).alias("ts")).to(spark.createDataFrame([], schemas.AI_CACHE).schema)
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One small file, through the file system that the path names."""
+def write_parts(spark: SparkSession, path: str, parts: Iterable[str]) -> None:
+    """One file, through the file system that the path names, a part at a time."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     system.setWriteChecksum(False)  # people edit these files, and a stale checksum would lock readers out
     out = system.create(target, True)
     try:
-        out.write(bytearray(text.encode()))
+        held, size = [], 0
+        for part in parts:
+            held.append(part)
+            size += len(part)
+            if size >= 1 << 16:
+                out.write(bytearray("".join(held).encode()))
+                held, size = [], 0
+        out.write(bytearray("".join(held).encode()))
     finally:
         out.close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_parts(spark, path, [text])
+
+
+def _object(entries: Iterable[tuple[str, object]]) -> Iterator[str]:
+    """A JSON object with two spaces of indent, as json.dumps writes it, entry by entry."""
+    some = False
+    for key, value in entries:
+        said = json.dumps(value, ensure_ascii=False, indent=2).replace("\n", "\n  ")
+        yield f"{',' if some else '{'}\n  {json.dumps(key, ensure_ascii=False)}: {said}"
+        some = True
+    yield "\n}" if some else "{}"
+
+
 def write_locale(entries: DataFrame, path: str, order: list[str]) -> None:
-    """A locale file: keys in order, two spaces of indent. It is one JSON object, so its size is bounded by what applications load."""
+    """A locale file: keys in order, two spaces of indent. Rows pass through the driver one after the other."""
     rows = entries.select("key", "value", *order).orderBy(*order, "key").toLocalIterator(prefetchPartitions=True)
-    write_text(entries.sparkSession, path, json.dumps({r.key: r.value for r in rows}, ensure_ascii=False, indent=2))
+    write_parts(entries.sparkSession, path, _object((r.key, r.value) for r in rows))
 
 
 def write_detail(catalog: DataFrame, path: str) -> None:
     rows = catalog.orderBy("ord", "key").toLocalIterator()
-    write_text(catalog.sparkSession, path, json.dumps({r.key: {"text": r.text, "context": r.context, "interpolations": list(r.interpolations)} for r in rows}, ensure_ascii=False, indent=2))
+    write_parts(catalog.sparkSession, path, _object((r.key, {"text": r.text, "context": r.context, "interpolations": list(r.interpolations)}) for r in rows))
 
 
 def write_ai_cache(cache: DataFrame, path: str) -> None:
     rows = cache.select("cache_key", "key", F.unix_millis("ts").alias("ts")).orderBy("cache_key").toLocalIterator()
-    write_text(cache.sparkSession, path, json.dumps({r.cache_key: {"key": r.key, "timestamp": r.ts} for r in rows}, ensure_ascii=False, indent=2))
+    write_parts(cache.sparkSession, path, _object((r.cache_key, {"key": r.key, "timestamp": r.ts}) for r in rows))
 
 
 def write_bulk(entries: DataFrame, path: str) -> None:

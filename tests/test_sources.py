@@ -251,6 +251,11 @@ def test_corrupt_locale_is_empty_or_an_error(spark, tmp_path):
     assert [(r.key, r.value, r.is_string) for r in files.locale_entries(spark, str(path), "en").orderBy("ord").collect()][:2] == [("a", "x", True), ("b", "3", False)]
 
 
+def test_written_objects_are_those_of_json():
+    for entries in ({}, {"a": "x\ny", "b": None}, {"k\"": {"text": "甲", "interpolations": ["a", "b"], "n": 1}, "l": {}}):
+        assert "".join(files._object(entries.items())) == json.dumps(entries, ensure_ascii=False, indent=2)
+
+
 def test_ai_cache(spark, tmp_path):
     path = tmp_path / "cache.json"
     path.write_text('{"old": "keyOne", "new": {"key": "keyTwo", "timestamp": 1700000000000}}')
