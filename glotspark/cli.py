@@ -7,6 +7,8 @@ import sys
 import time
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
 from glotspark.config import load_config
 from glotspark.functions.display import format_duration
 from glotspark.operators.aikeys import Generator
@@ -32,7 +34,7 @@ def main(args: list[str] | None = None, translator: Translator | None = None, ge
             sub.add_argument("-f", "--force", action="store_true", help="translate what is translated already")
     said = parser.parse_args(args)
     config = load_config(Path(said.root), said.config, said.command)
-    spark, began = local_session(), time.time()
+    spark, began = SparkSession.getActiveSession() or local_session(), time.time()
     provider = config["ai_provider"]["api_key"]
     if said.command == "extract":
         out = application.extract(spark, config, generator=generator)

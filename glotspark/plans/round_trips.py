@@ -23,6 +23,7 @@ from glotspark.plans.basics import FACTS, SPACE, C, N, key_sql, query, semantic_
 from glotspark.plans.phrases import PHRASES, phrases, phrases_sql
 from glotspark.sources import chat, files
 from glotspark.sources.shared import keeper, shared_folder
+from glotspark.streaming import increments
 
 _CUSTOMERS = f"said AS (SELECT c_custkey AS ord, 'c' || c_custkey AS key, phrase, translated FROM customer JOIN phrases ON pid = c_custkey % {N})"
 
@@ -201,6 +202,59 @@ def translation_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _translated(spark, sf_dir, _unreadable_french).quarantine.select("lang", "batch_id", "key", "reason", "raw_response")
 
 
+@query(
+    "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 0.0 WHEN 1 THEN greatest(60.0 / (n_nationkey + 1), 1.0) ELSE greatest(60.0 / (n_nationkey + 1), 1.0) + greatest(60.0 / (n_nationkey + 1), 2.0) END::DECIMAL(9, 3)::VARCHAR AS waited,"
+    " '{\"k' || n_nationkey || '\": \"' || n_name || '\"}' AS asked, 'text: ' || n_name || chr(10) || 'area: r' || n_regionkey AS key_asked FROM nation"
+)
+def calls_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds that a limiter waits for calls that fail once or twice, at another rate for each nation; what is sent."""
+    out = []
+    for r in sorted(table(spark, sf_dir, "nation").collect()):  # 25 rows
+        now, left = [0.0], [r.n_nationkey % 3]
+
+        def sleep(seconds: float, now=now) -> None:
+            now[0] += seconds
+
+        def call(left=left) -> str:
+            left[0] -= 1
+            if left[0] >= 0:
+                raise ValueError("not now")
+            return "done"
+
+        translate.Limiter(r.n_nationkey + 1, 3, sleep, lambda now=now: now[0]).call(call)
+        asked = translate.prompt("zh", "en", {f"k{r.n_nationkey}": r.n_name})[1]["content"]
+        out.append((r.n_nationkey, f"{now[0]:.3f}", asked, aikeys.prompt([{"text": r.n_name, "context": {"area": f"r{r.n_regionkey}", "textType": None}}])[1]["content"]))
+    return spark.createDataFrame(out, "n_nationkey int, waited string, asked string, key_asked string")
+
+
+@query(f"WITH {phrases_sql()}, {_PROJECT} SELECT count(*) || ' files, ' || count(*) || ' changed, ' || (SELECT count(*) FROM entries) || ' keys, 0 collisions, 0 errors' AS said, 0::INTEGER AS code FROM sources UNION ALL SELECT 'translate needs ai_provider.api_key in the configuration, or a translator passed to glotspark.cli.main', 2")
+def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both commands, as they are called from a shell; without a provider translate says what it needs."""
+    import contextlib
+    import io
+
+    from glotspark import cli
+
+    root, out = str(_project(spark, sf_dir).root), []
+    for args in (["extract", "--root", root], ["translate", "--root", root, "-l", "en_US"]):
+        said = io.StringIO()
+        with contextlib.redirect_stdout(said), contextlib.redirect_stderr(said):
+            code = cli.main(args)
+        out.append((said.getvalue().strip().splitlines()[-1], code))
+    return spark.createDataFrame(out, "said string, code int")
+
+
+@query("WITH e AS (SELECT 'k' || (o_orderkey % 500) AS key, CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE o_orderpriority END AS value, o_orderkey AS ord FROM orders) SELECT 'en' AS locale, key, arg_max(value, CASE WHEN value = ' ' THEN 0 ELSE 1000000000 END + ord) AS value, min(ord)::BIGINT AS ord FROM e GROUP BY 2")
+def streamed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that arrive as files, merged by a stream: the last value that is not blank stays."""
+    folder, number = shared_folder(spark, "stream"), C("o_orderkey")
+    value = F.when(number % 3 == 0, " ").otherwise(C("o_orderpriority"))
+    rows = table(spark, sf_dir, "orders").select(F.lit("en").alias("locale"), F.concat(F.lit("k"), F.pmod(number, F.lit(500))).alias("key"), value.alias("value"), number.cast("long").alias("ord"))
+    rows.repartition(4, "key").write.parquet(f"{folder}/incoming")
+    increments.merge_stream(spark, f"{folder}/incoming", f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return increments.current(spark, f"{folder}/table")
+
+
 # --- generated keys
 
 
