@@ -11,18 +11,20 @@ n - ceil(t n) + 1 shingles is shared by any partner - to the tasks that own thos
 * up to ``few`` classes that share one are paired there, subject to the length filter and the
   positional filter; the suffix filter then compares how the two sets spread over 64 classes of
   hashes, and what is left is verified once per pair on the whole sets;
-* more classes than that are not paired: they are linked to one of them, and the connected groups
-  that this gives are compared block by block, each pair in one block pair only, again behind
-  length and suffix filters. A block pair sends out a spanning forest of its links. Shingles that
-  very many texts hold connect their classes without being brought together at all.
+* more classes than that are not paired: they are linked to one of them. Of the connected groups that
+  this gives, the larger ones are compared with one of their classes first; what that has not connected
+  is compared block by block, each pair in one block pair only, again behind length and suffix
+  filters. A block pair sends out a spanning forest of its links. Shingles that very many texts hold
+  connect their classes without being brought together at all.
 
 Either way a class pair that reaches the threshold is linked or already connected, so components
 are exact; no group of copies is ever expanded into all pairs between tasks.
 
 Defined results: a text with fewer words than ``words`` has its whole word sequence as the one
 shingle; without words, empty or null it has none and links with nothing; each repeated row is a
-text of its own; a null doc_id stays null and, where no equal text has one, links with nothing.
-Sets are compared by 64-bit hashes of their shingles, and classes by 128-bit hashes of their sets.
+text of its own; a null doc_id stays null and, where no equal text has one, links with nothing; texts
+of any length are taken whole; a pair exactly at the threshold is linked; an empty table gives an empty
+one; columns named like inner ones do not matter, as only id and text are read. Sets are compared by 64-bit hashes of their shingles, and classes by 128-bit hashes of their sets.
 """
 
 from __future__ import annotations
@@ -52,7 +54,10 @@ PERCENT = 80
 CELLS, MAX_CELLS = 1 << 20, 1 << 24
 
 #: Shingles that a task of the first step sends on at once, and that a bucket has about.
-SHEET, BUCKET = 1 << 19, 1 << 22
+SHEET, BUCKET = 1 << 19, 1 << 21
+
+#: Buckets into which a sheet is cut at once; more than that are dealt out in two steps.
+FANOUT = 1 << 10
 
 #: Classes that are paired under one shingle; more are compared block by block.
 FEW = 24
@@ -122,31 +127,49 @@ def _first_pass(docs: DataFrame, words: int) -> DataFrame:
     return docs.transform(map_arrow, run, "doc_id long, n long, k1 long, k2 long")
 
 
-def _sheets(docs: DataFrame, bits, words: int, buckets: int) -> DataFrame:
-    """The shingles of the texts whose bit is set, as 32-bit fingerprints by bucket: sheet, bucket, payload.
+_DEALT = "bucket int, sheet long, wide boolean, payload binary"
+_DEALT_SCHEMA = pa.schema([("bucket", pa.int32()), ("sheet", pa.int64()), ("wide", pa.bool_()), ("payload", pa.binary())])
+_TEXT_BITS = 13  # of an owner: a sheet has at most 2^13 texts
+
+
+def _rows(bucket: np.ndarray, buckets: int, owner: np.ndarray, prints: np.ndarray, sheet: int, wide: bool) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket that has some: owners (texts of the sheet in 16 bits, or whole owners in 64), then prints."""
+    order = np.argsort(bucket, kind="stable")
+    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    full = np.flatnonzero(np.diff(edge))
+    own, what = owner[order], prints[order]
+    rows = [own[edge[k] : edge[k + 1]].tobytes() + what[edge[k] : edge[k + 1]].tobytes() for k in full.tolist()]
+    yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), sheet)), pa.array(np.full(len(full), wide)), pa.array(rows, pa.binary())], schema=_DEALT_SCHEMA)
+
+
+def _unpack(raw: bytes, sheet: int, wide: bool, width: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Owners (sheet and text as one number) and prints of a row."""
+    own = np.dtype(np.int64 if wide else np.uint16)
+    n = len(raw) // (own.itemsize + width.itemsize)
+    owner = np.frombuffer(raw, own, n).astype(np.int64)
+    return owner if wide else owner | sheet << _TEXT_BITS, np.frombuffer(raw, width, n, n * own.itemsize)
 
-    A sheet is some texts of one task. Its row of bucket -1 holds their classes and sizes; its row of a
-    bucket holds how many shingles of each text fall there, then those shingles' fingerprints.
+
+def _sheets(docs: DataFrame, bits, words: int, coarse: int, width: np.dtype) -> DataFrame:
+    """The shingles of the texts whose bit is set, as fingerprints by bucket, and a row of bucket -1 for each sheet.
+
+    A sheet is some texts of one task; that row holds their classes and sizes. A bucket is the
+    remainder of a shingle's high half. The number of rows follows the number of sheets: a sheet has
+    at most ``coarse`` buckets, whatever the size of the table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         keys, sets, size, number = [], [], 0, 0
 
-        def sheet() -> pa.RecordBatch:
-            name = task << 32 | number
+        def sheet() -> Iterator[pa.RecordBatch]:
+            name = task << 24 | number
             lengths = np.fromiter(map(len, sets), np.int64, len(sets))
             tokens = np.concatenate(sets).view(np.uint64)
-            bucket = ((tokens >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            owner = np.repeat(np.arange(len(sets)), lengths)
-            order = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            prints = tokens.astype(np.uint32)
-            rows = [np.concatenate([np.array(keys, np.int64), lengths]).tobytes()]
-            for k in range(buckets):
-                own = order[edge[k] : edge[k + 1]]
-                rows.append(np.bincount(owner[own], minlength=len(sets)).astype(np.uint32).tobytes() + prints[own].tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(np.full(buckets + 1, name)), pa.array(np.arange(-1, buckets, dtype=np.int32)), pa.array(np.full(buckets + 1, len(sets), np.int32)), pa.array(rows, pa.binary())], names=["sheet", "bucket", "texts", "payload"])
+            about = np.concatenate([np.array(keys, np.int64), lengths]).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([name]), pa.array([False]), pa.array([about], pa.binary())], schema=_DEALT_SCHEMA)
+            owner = np.repeat(np.arange(len(sets), dtype=np.uint16), lengths)
+            yield from _rows(((tokens >> np.uint64(32)) % np.uint64(coarse)).astype(np.int64), coarse, owner, tokens.astype(width), name, False)
 
         for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             at = batch.column("place").to_numpy()
@@ -157,29 +180,73 @@ def _sheets(docs: DataFrame, bits, words: int, buckets: int) -> DataFrame:
                 keys.append(class_key(own)[0])
                 sets.append(own)
                 size += len(own)
-                if size >= SHEET or len(sets) >= SHEET // 64:
-                    yield sheet()
+                if size >= SHEET or len(sets) >= 1 << _TEXT_BITS:
+                    yield from sheet()
                     keys, sets, size, number = [], [], 0, number + 1
         if sets:
-            yield sheet()
+            yield from sheet()
 
     place = F.pmod(F.xxhash64("doc_id"), F.lit(_BITMAP))
-    return docs.where("doc_id is not null").select("doc_id", "text", place.alias("place")).transform(map_arrow, run, "sheet long, bucket int, texts int, payload binary")
+    return docs.where("doc_id is not null").select("doc_id", "text", place.alias("place")).transform(map_arrow, run, _DEALT)
+
+
+def _dealt_again(sheets: DataFrame, coarse: int, fine: int, buckets: int, shuffle: int) -> DataFrame:
+    """The second step: each coarse bucket's rows, spread over several tasks, cut into its fine buckets.
+
+    What a task cuts at once is a sheet again, with a negative number and owners of many sheets.
+    """
+    width = np.dtype(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId(), 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        at, size = None, 0
+
+        def cut() -> Iterator[pa.RecordBatch]:
+            owner, prints = (np.concatenate(x) for x in zip(*held, strict=True))
+            part = ((prints >> np.uint64(32)) // np.uint64(coarse) % np.uint64(fine)).astype(np.int64)
+            for batch in _rows(part, fine, owner, prints, -1 - (task << 24 | number), True):
+                bucket = pa.array((batch.column("bucket").to_numpy().astype(np.int64) * coarse + at).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([bucket, *batch.columns[1:]], schema=_DEALT_SCHEMA)
+
+        for batch in batches:
+            for bucket, sheet, wide, raw in zip(*(batch.column(c) for c in _DEALT_SCHEMA.names), strict=True):
+                if bucket.as_py() < 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([x.as_py()], f.type) for x, f in zip((bucket, sheet, wide, raw), _DEALT_SCHEMA, strict=True)], schema=_DEALT_SCHEMA)
+                    continue
+                if held and (bucket.as_py() != at or size >= SHEET):
+                    yield from cut()
+                    held, size, number = [], 0, number + 1
+                at = bucket.as_py()
+                held.append(_unpack(raw.as_py(), sheet.as_py(), wide.as_py(), width))
+                size += len(held[-1][1])
+        if held:
+            yield from cut()
 
+    spread = F.pmod(F.xxhash64("sheet"), F.lit(max(1, buckets // coarse)))
+    return sheets.repartition(max(shuffle, buckets), "bucket", spread).sortWithinPartitions("bucket").transform(map_arrow, run, _DEALT)
 
-def _live(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+
+def _live(docs: DataFrame, classes: DataFrame, words: int, percent: int, bucket_size: int = BUCKET, fanout: int = FANOUT) -> DataFrame:
     """k1 of the classes that can have a partner: at least percent of their shingles stand elsewhere too.
 
     Exact but for fingerprints that agree by chance, which only let a class through. Buckets are
-    as many as keep about BUCKET shingles in each, whatever the size of the table.
+    as many as keep about bucket_size shingles in each. Each row that a bucket got is answered with one
+    row: which of its texts have how many shingles that others have as well. The answers to a sheet
+    are summed where they meet again, so all rows follow the sheets.
     """
     spark = docs.sparkSession
     total = classes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(shuffle, -(-total // bucket_size))
+    twice = buckets > fanout
+    coarse = int(np.ceil(np.sqrt(buckets))) if twice else buckets
+    width = np.dtype(np.uint64 if twice else np.uint32)
     bits = spark.sparkContext.broadcast(_bitmap(classes, "rep"))
+    texts = (1 << _TEXT_BITS) - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each sheet and bucket, how many shingles of each text another text has as well."""
+        """The answer to each row: owners, then numbers of shared shingles. Rows about sheets go through as they are."""
         runs = Runs(["bucket"])
 
         def work(table: pa.Table | None) -> Iterator[pa.RecordBatch]:
@@ -188,50 +255,73 @@ def _live(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
             bucket = table.column("bucket").to_numpy()
             edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                part = table.slice(a, b - a).select(["sheet", "bucket", "texts", "payload"]).combine_chunks()
+                part = table.slice(a, b - a)
                 if bucket[a] < 0:
-                    yield from part.to_batches()
+                    yield from part.select(_DEALT_SCHEMA.names).to_batches()
                     continue
-                texts, raw = part.column("texts").to_pylist(), part.column("payload").to_pylist()
-                prints = [np.frombuffer(r, np.uint32, offset=4 * t) for r, t in zip(raw, texts, strict=True)]
-                values, n = np.unique(np.concatenate(prints), return_counts=True)
-                twice = values[n > 1]
+                rows = [(sheet.as_py(), wide.as_py(), raw.as_py()) for sheet, wide, raw in zip(*(part.column(c) for c in ("sheet", "wide", "payload")), strict=True)]
+                owners, prints = zip(*(_unpack(raw, sheet, wide, width) for sheet, wide, raw in rows), strict=True)
+                ends = np.cumsum([len(x) for x in prints])
+                prints = np.concatenate(prints)
+                order = np.argsort(prints, kind="stable")
+                same = prints[order[1:]] == prints[order[:-1]]
+                shared = np.zeros(len(order), bool)
+                shared[order[1:][same]] = shared[order[:-1][same]] = True
                 out = []
-                for p, r, t in zip(prints, raw, texts, strict=True):
-                    at = np.searchsorted(twice, p)
-                    shared = twice[np.minimum(at, len(twice) - 1)] == p if len(twice) else np.zeros(len(p), bool)
-                    ends = np.cumsum(np.frombuffer(r, np.uint32, t).astype(np.int64))
-                    total = np.concatenate([[0], np.cumsum(shared)])[np.concatenate([[0], ends])]
-                    out.append(np.diff(total).astype(np.uint32).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("sheet").combine_chunks(), part.column("bucket").combine_chunks(), part.column("texts").combine_chunks(), pa.array(out, pa.binary())], names=["sheet", "bucket", "texts", "payload"])
+                for (sheet, wide, _), owner, end in zip(rows, owners, ends.tolist(), strict=True):
+                    whose, n = np.unique(owner[shared[end - len(owner) : end]], return_counts=True)
+                    if len(whose):
+                        packed = whose.tobytes() if wide else (whose & texts).astype(np.uint16).tobytes()
+                        out.append((int(bucket[a]), sheet, wide, packed + n.astype(np.uint32).tobytes()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _DEALT_SCHEMA, strict=True)], schema=_DEALT_SCHEMA)
 
         for batch in batches:
             yield from work(runs.take(batch))
         yield from work(runs.rest())
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sheet, keys, sizes, shared = None, None, None, None
+    found = pa.schema([("sheet", pa.int64()), ("text", pa.int32()), ("k1", pa.int64()), ("n", pa.int64()), ("shared", pa.int64())])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each sheet its texts with class, size and number of shared shingles; of a sheet of the second step the owners' numbers."""
+        at, about, owners, numbers = None, None, [], []
 
         def out() -> pa.RecordBatch:
-            good = 100 * shared >= percent * sizes
-            return pa.RecordBatch.from_arrays([pa.array(keys[good])], names=["k1"])
+            owner = np.concatenate([np.zeros(0, np.int64), *owners])
+            number = np.concatenate([np.zeros(0, np.int64), *numbers])
+            if about is not None:
+                both = np.frombuffer(about, np.int64)
+                size = len(both) // 2
+                total = np.bincount(owner & texts, number, size).astype(np.int64)
+                return pa.RecordBatch.from_arrays([pa.array(np.full(size, at)), pa.array(np.arange(size, dtype=np.int32)), pa.array(both[:size]), pa.array(both[size:]), pa.array(total)], schema=found)
+            owner, place = np.unique(owner, return_inverse=True)
+            total = np.bincount(place, number, len(owner)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(owner >> _TEXT_BITS), pa.array((owner & texts).astype(np.int32)), pa.nulls(len(owner), pa.int64()), pa.nulls(len(owner), pa.int64()), pa.array(total)], schema=found)
 
         for batch in batches:
-            for name, bucket, texts, raw in zip(*(batch.column(c).to_pylist() for c in ("sheet", "bucket", "texts", "payload")), strict=True):
-                if bucket < 0:
-                    if sheet is not None:
+            for bucket, sheet, wide, raw in zip(*(batch.column(c) for c in _DEALT_SCHEMA.names), strict=True):
+                if sheet.as_py() != at:
+                    if at is not None:
                         yield out()
-                    both = np.frombuffer(raw, np.int64)
-                    sheet, keys, sizes, shared = name, both[:texts], both[texts:], np.zeros(texts, np.int64)
+                    at, about, owners, numbers = sheet.as_py(), None, [], []
+                if bucket.as_py() < 0:
+                    about = raw.as_py()
                 else:
-                    shared += np.frombuffer(raw, np.uint32)
-        if sheet is not None:
+                    owner, number = _unpack(raw.as_py(), at, wide.as_py(), np.dtype(np.uint32))
+                    owners.append(owner)
+                    numbers.append(number.astype(np.int64))
+        if at is not None:
             yield out()
 
-    kind = "sheet long, bucket int, texts int, payload binary"
-    sheets = _sheets(docs, bits, words, buckets).withColumn("deal", F.when(F.col("bucket") < 0, F.xxhash64("sheet")).otherwise(F.xxhash64("bucket")))
-    counted = sheets.repartition("deal").sortWithinPartitions("bucket").drop("deal").transform(map_arrow, count, kind)
-    return counted.repartition("sheet").sortWithinPartitions("sheet", "bucket").transform(map_arrow, decide, "k1 long").distinct()
+    sheets = _sheets(docs, bits, words, coarse, width)
+    if twice:
+        sheets = _dealt_again(sheets, coarse, coarse, buckets, shuffle)
+        buckets = coarse * coarse
+    deal = F.when(F.col("bucket") < 0, F.xxhash64("sheet")).otherwise(F.col("bucket").cast("long"))
+    answers = sheets.withColumn("deal", deal).repartition(min(buckets, 1 << 16), "deal").sortWithinPartitions("bucket").drop("deal").transform(map_arrow, count, _DEALT)
+    counted = answers.repartition("sheet").sortWithinPartitions("sheet").transform(map_arrow, gather, "sheet long, text int, k1 long, n long, shared long")
+    summed = counted.groupBy("sheet", "text").agg(F.max("k1").alias("k1"), F.max("n").alias("n"), F.sum("shared").alias("shared"))
+    return summed.where(100 * F.col("shared") >= percent * F.col("n")).select("k1").distinct()
 
 
 def _strips(sets: DataFrame, cells: int) -> DataFrame:
@@ -426,14 +516,55 @@ def _verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int, stash: Stas
     return both(left, ["rep", "tokens"]).transform(map_arrow, verify, "rep_a long, rep_b long").toDF("rep", "other")
 
 
+def _near_pivots(rows: DataFrame, percent: int, stash: Stash) -> DataFrame:
+    """rows (k1, group, blocks and the sets' columns) of groups of several blocks, with pivot (its rep) and whether they link to it.
+
+    A group's pivot is its class with the smallest key. Rows and pivots meet by a computed key, so that
+    a hot group can be split between tasks.
+    """
+    pivots = rows.groupBy("group").agg(F.min("k1").alias("k1"))
+    pivots = stash.keep(rows.join(pivots, ["group", "k1"]).select(F.concat(F.lit("="), "group").alias("g"), F.col("rep").alias("pivot"), F.col("n").alias("pivot_n"), F.col("tokens").alias("pivot_tokens")), "pivots")
+    names = ["k1", "group", "blocks", "rep", "n", "spread", "tokens", "pivot"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column("tokens"), batch.column("pivot_tokens"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                linked[i] = 100 * common >= percent * (len(x) + len(y) - common)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(linked)], names=[*names, "linked"])
+
+    met = rows.join(pivots, F.concat(F.lit("="), rows.group) == pivots.g).select(*names, "pivot_tokens")
+    return stash.keep(met.transform(map_arrow, run, "k1 long, group long, blocks int, rep long, n long, spread binary, tokens binary, pivot long, linked boolean"), "near")
+
+
 def _compared_blocks(groups: DataFrame, sets: DataFrame, percent: int, block: int, stash: Stash) -> DataFrame:
-    """rep, other: a spanning forest of the links within each group (k1, group)."""
+    """rep, other: a spanning forest of the links within each group (k1, group).
+
+    A group of one block is compared in one unit. Of a larger one all classes are compared with one
+    of them, the pivot, first; those linked to it are connected, so they need not meet each other: only the
+    others are compared, block by block, among themselves and with all. A group of near copies thus
+    costs about as many comparisons as it has classes.
+    """
     sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     sizes = stash.keep(sizes.where("blocks > 1").select(F.col("group").alias("g"), "blocks"), "sizes")
     rows = groups.join(sizes, groups.group == sizes.g, "left").select("k1", "group", F.coalesce("blocks", F.lit(1)).alias("blocks")).join(sets, "k1")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    units = rows.select(F.xxhash64("group", low, high).alias("unit"), (low == high).alias("alone"), (F.col("mine") == low).alias("side"), "rep", "n", "spread", "tokens")
+    small = rows.where("blocks = 1").select(F.xxhash64("group").alias("unit"), F.lit(True).alias("alone"), F.lit(True).alias("side"), "rep", "n", "spread", "tokens")
+    near = _near_pivots(rows.where("blocks > 1"), percent, stash)
+    other = near.where("not linked").groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("other_blocks"))
+    other = stash.keep(other.select(F.concat(F.lit("="), "group").alias("g"), "other_blocks"), "others")
+    left = near.join(other, F.concat(F.lit("="), near.group) == other.g)
+    rest = left.where("not linked").withColumn("mine", F.pmod(F.xxhash64("k1"), F.col("other_blocks")).cast("int"))
+    among = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
+    low, high = F.least("mine", "with"), F.greatest("mine", "with")
+    columns = ["rep", "n", "spread", "tokens"]
+    units = small.unionByName(among.select(F.xxhash64("group", low, high).alias("unit"), (low == high).alias("alone"), (F.col("mine") == low).alias("side"), *columns))
+    across = F.xxhash64("group", F.col("mine"), F.col("with"), F.lit("across")).alias("unit")
+    units = units.unionByName(rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(across, F.lit(False).alias("alone"), F.lit(True).alias("side"), *columns))
+    known = left.where("linked").withColumn("with", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int")).withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
+    units = units.unionByName(known.select(across, F.lit(False).alias("alone"), F.lit(False).alias("side"), *columns))
+    pivots = near.where("linked and rep <> pivot").select("rep", F.col("pivot").alias("other"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = Runs(["unit"])
@@ -474,7 +605,7 @@ def _compared_blocks(groups: DataFrame, sets: DataFrame, percent: int, block: in
                 yield from work(runs.take(batch.slice(at, 256)))
         yield from work(runs.rest())
 
-    return units.repartition("unit").sortWithinPartitions("unit").transform(map_arrow, run, "rep long, other long")
+    return pivots.unionByName(units.repartition("unit").sortWithinPartitions("unit").transform(map_arrow, run, "rep long, other long"))
 
 
 def common_counts(sets: list[np.ndarray], wide: int = 4096) -> np.ndarray:
@@ -498,13 +629,13 @@ def common_counts(sets: list[np.ndarray], wide: int = 4096) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def components_of(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, cells: int | None = None, few: int = FEW, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+def components_of(docs: DataFrame, doc: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, cells: int | None = None, few: int = FEW, block: int = BLOCK, hot: int = HOT, bucket_size: int = BUCKET, fanout: int = FANOUT) -> DataFrame:
     """doc_id, n_shingles, component_id (long) for every row of docs."""
     spark = docs.sparkSession
     stash, slim = Stash(spark, "ngramjoin"), docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = stash.keep(_first_pass(slim, words), "first")
     classes = stash.keep(rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "classes")
-    live = _live(slim, classes, words, percent)
+    live = _live(slim, classes, words, percent, bucket_size, fanout)
     wanted = stash.keep(classes.join(live, "k1", "left_semi").select("rep", "k1"), "wanted")
     sets = stash.keep(_sets(slim, wanted, words), "sets")
     cells = cells or min(MAX_CELLS, max(CELLS, 1 << int(np.log2((sets.agg(F.sum("n")).first()[0] or 1)))))
