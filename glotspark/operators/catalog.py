@@ -60,12 +60,15 @@ def with_keys(occurrences: DataFrame, strategy: str = "semantic", context: Colum
 
 
 def first_keys(rows: DataFrame, key: Column, order: list[str], text_column: str = "text") -> DataFrame:
-    """key and order of the first row of each text, where the texts themselves are not asked for.
+    """key and order of the first row of each text.
 
-    Texts are told apart by 192 bits of two hashes, taken before the shuffle: only those, the keys and the order go through it.
+    Texts are told apart by 192 bits of two hashes, taken before the shuffle, so that rows are grouped and
+    sorted by those and not by whole texts; keys are made behind it, of the first rows only.
     """
-    slim = rows.select(F.md5(F.encode(F.col(text_column), "UTF-8")).alias("_a"), F.xxhash64(text_column).alias("_b"), key.alias("key"), *order)
-    return slim.groupBy("_a", "_b").agg(F.min(F.struct(*order, "key")).alias("_first")).select("_first.key", *[f"_first.{c}" for c in order])
+    rest = [c for c in rows.columns if c not in order]
+    slim = rows.select(F.md5(F.encode(F.col(text_column), "UTF-8")).alias("_a"), F.xxhash64(text_column).alias("_b"), *rows.columns)
+    first = slim.groupBy("_a", "_b").agg(F.min(F.struct(*order, *rest)).alias("_first")).select("_first.*")
+    return first.select(key.alias("key"), *order)
 
 
 def catalogue(keyed: DataFrame) -> DataFrame:
